@@ -2,8 +2,8 @@
 
 Each rule reads whole-text counts and votes good (1), bad (-1) or abstains (0). Votes fall into a
 bounded number of patterns (3 ** number of rules); one aggregate counts them over all documents, and
-expectation-maximisation over those counts estimates each rule's accuracy (how often it votes good,
-bad or abstains for good and for bad documents) and the share of good documents. The posterior
+expectation-maximisation over those counts estimates each rule's accuracy (how often its votes are
+right). The posterior
 probability that a document is good replaces the rule that all filters must pass.
 
 Repeated 3-word windows are counted within a row and without a shuffle: each window's 64-bit hash
@@ -78,24 +78,27 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> list[Column]:
-    """The rules: 1 good, -1 bad, 0 abstains; all ratios of whole-text counts."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c, d: F.col(c) / d
-
-    def rule(x: Column, good_below: float, bad_above: float) -> Column:
-        return F.when(x > bad_above, F.lit(-1)).when(x < good_below, F.lit(1)).otherwise(F.lit(0))
+    """The rules: 1 good, -1 bad, 0 abstains; all from ratios of whole-text counts.
 
-    mean = F.col("word_chars") / n
+    A rule that looks for one fault votes bad or abstains: the absence of one fault says little. One
+    rule votes good, where everything it looks at is ordinary, and abstains elsewhere.
+    """
+    n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     lines = F.greatest(F.col("n_lines"), F.lit(1))
+    symbols, repeats, bangs, stops = (F.col(c) / n for c in ("n_symbols", "n_repeat_words", "n_bang", "n_stop"))
+    copied, upper, mean = F.col("n_dup_lines") / lines, F.col("n_upper") / chars, chars / n
+    bad = lambda fault: F.when(fault, F.lit(-1)).otherwise(F.lit(0))
+    ordinary = (symbols < 0.03) & (repeats < 0.5) & (upper < 0.15) & (bangs < 0.05) & (mean >= 3) & (mean <= 9) & (stops >= 0.02)
     return [
-        rule(share("n_symbols", n), 0.03, 0.1),
-        rule(share("n_repeat_words", n), 0.2, 0.3),
-        F.when(F.col("n_lines") < 3, F.lit(0)).otherwise(rule(share("n_dup_lines", lines), 0.1, 0.3)),
-        rule(share("n_upper", chars), 0.15, 0.4),
-        rule(share("n_bang", n), 0.05, 0.2),
-        F.when((mean < 2.5) | (mean > 12), F.lit(-1)).when((mean >= 3.5) & (mean <= 9), F.lit(1)).otherwise(F.lit(0)),
-        F.when(F.col("n_words") < 30, F.lit(0)).when(F.col("n_stop") * 100 < F.col("n_words"), F.lit(-1)).when(F.col("n_stop") * 50 > F.col("n_words"), F.lit(1)).otherwise(F.lit(0)),
+        bad(symbols > 0.08),
+        bad(repeats > 0.3),
+        bad((F.col("n_lines") >= 3) & (copied > 0.5)),
+        bad(upper > 0.4),
+        bad(bangs > 0.2),
+        bad((mean < 2.5) | (mean > 12)),
+        bad((F.col("n_words") >= 30) & (stops < 0.01)),
+        F.when(ordinary, F.lit(1)).otherwise(F.lit(0)),
     ]
 
 
@@ -111,32 +114,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def posterior(tally: dict[int, int], n_rules: int, rounds: int = 100, smooth: float = 1.0) -> dict[int, float]:
+def posterior(tally: dict[int, int], n_rules: int, prior: float = 0.5, rounds: int = 200, smooth: float = 1.0) -> dict[int, float]:
     """EM over pattern counts -> the posterior probability of 'good' for each pattern.
 
-    Rules are independent given the class. The start takes documents with any bad vote as mostly bad.
+    A rule that votes is right with its accuracy, whatever the class, and rules err independently; an
+    abstention says nothing. Accuracies start at 0.9 and are kept at 0.55 or more: a rule may turn out
+    weak, but not inverted. The class balance is given (even by default): were it learnt, a rule that no
+    other rule ever confirms would be overruled by the many good documents. No votes: posterior = prior.
     """
-    split = {p: [(p // 3 ** (n_rules - 1 - r)) % 3 for r in range(n_rules)] for p in tally}
-    post = {p: 0.05 if 0 in v else 0.95 for p, v in split.items()}
+    split = {p: [(p // 3 ** (n_rules - 1 - r)) % 3 - 1 for r in range(n_rules)] for p in tally}
+    right, post = [0.9] * n_rules, {}
     for _ in range(rounds):
-        good = sum(c * post[p] for p, c in tally.items())
-        total = sum(tally.values())
-        prior = (good + smooth) / (total + 2 * smooth)
-        table = [[[smooth] * 3 for _ in range(n_rules)] for _ in range(2)]
-        for p, c in tally.items():
-            for r, v in enumerate(split[p]):
-                table[1][r][v] += c * post[p]
-                table[0][r][v] += c * (1 - post[p])
-        logs = [[[math.log(x / sum(t)) for x in t] for t in side] for side in table]
+        logs = [(math.log(a), math.log(1 - a)) for a in right]
         new = {}
         for p, v in split.items():
-            a = math.log(prior) + sum(logs[1][r][x] for r, x in enumerate(v))
-            b = math.log(1 - prior) + sum(logs[0][r][x] for r, x in enumerate(v))
-            new[p] = 1 / (1 + math.exp(min(700, b - a)))
-        done = max((abs(new[p] - post[p]) for p in post), default=0) < 1e-9
+            odds = math.log(prior / (1 - prior)) + sum((logs[r][0] - logs[r][1]) * x for r, x in enumerate(v))
+            new[p] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        done = bool(post) and max(abs(new[p] - post[p]) for p in post) < 1e-9
         post = new
         if done:
             break
+        for r in range(n_rules):
+            voted = sum(c for p, c in tally.items() if split[p][r])
+            agreed = sum(c * (post[p] if split[p][r] > 0 else 1 - post[p]) for p, c in tally.items() if split[p][r])
+            right[r] = min(0.999, max(0.55, (agreed + 9 * smooth) / (voted + 10 * smooth)))
     return post
 
 
