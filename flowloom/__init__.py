@@ -1 +1,8 @@
 """flowloom: a PySpark-native engine for program data-flow graphs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions sent to executors carry their code along: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
