@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, simhash, url_reputation
+from . import exact_dedup, packing, quality_rules, simhash, token_files, url_reputation
 
-_MODULES = (exact_dedup, quality_rules, simhash, url_reputation)
+_MODULES = (exact_dedup, packing, quality_rules, simhash, token_files, url_reputation)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
