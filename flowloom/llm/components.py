@@ -27,7 +27,7 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Every round is written to the shared folder, which cuts lineage; the minimum of a hub's neighbours is
     a partial aggregate. Rounds grow with the logarithm of the longest chain.
     """
-    edges = common.stage(spark, _small_star(edges), "star")
+    edges = common.stage(spark, _small_star(common.stage(spark, edges, "edges")), "star")
     seen = None
     while True:
         edges = common.stage(spark, _small_star(_large_star(edges)), "star")

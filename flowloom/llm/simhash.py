@@ -93,9 +93,12 @@ def child_masks(mask: int, blocks: int = RADIUS + 1) -> list[int]:
 
 
 def leaves(spark: SparkSession, fps: DataFrame, node_size: int = 2048) -> DataFrame:
-    """fps(fp), distinct -> rows (mask, pattern, fp) of all index leaves that hold two fingerprints or more."""
+    """fps(fp), distinct -> rows (mask, pattern, fp) of all index leaves that hold two fingerprints or more.
+
+    The descent starts at the second level, whose nodes share 28 bits: most hold one fingerprint only.
+    """
     out = None
-    masks = child_masks(0)
+    masks = [c for m in child_masks(0) for c in child_masks(m)]
     rows = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp")
     while True:
         rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
