@@ -7,18 +7,22 @@ under a character trigram model, counted over the whole corpus, finds the likeli
 tokens decode to themselves. The memo of decoded words is bounded and changes no result.
 
 The classifier reads restored words only. Its cues are words and word beginnings that labelled toxic
-documents use far more than others, found by document counts over a sample of labelled rows (at most
-``max_labelled``, those of least id hash, each text once); a logistic regression over three cue
-statistics of a document gives the score. Labels come from the learning folds only.
-
-Defined cases: null and empty texts and texts without cues get the score of no cues (low); a label
-table without both classes gives the rate of toxic labels as everyone's score; rows with null labels
-teach nothing; repeated rows get one row each; an empty table gives an empty result; extra columns
+documents use far more than others, counted by document over a sample of labelled rows (about
+``max_labelled`` at most, those of least id hash, each text once). The sample has two halves: a cue that
+stands out in one half gets its weight, the share of toxic documents among those that use it, from the
+other, less one standard error, so chance finds weigh little and those under ``LEAST_WEIGHT`` nothing.
+The evidence of a document is the sum of the log-odds of its three strongest cue words; the evidence
+that CLEAN_SHARE of the clean labelled documents stay below (1 at least) scores 0.7, the rest follows
+the logistic curve. Labels come from the learning folds only.
+
+Defined cases: null and empty texts and texts without cues have the lowest score; rows with null labels
+teach nothing; without labels of both kinds there are no cues and all scores are equal; repeated rows get one row each; an empty table gives an empty result; extra columns
 of documents are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -37,7 +41,7 @@ LOOKS_LIKE = {
 }
 #: Channel costs in nats: a look-alike, a dropped repeat, a dropped separator, a dropped mark that could be a letter, a kept third repeat.
 SWAP, REPEAT, SEPARATOR, DROP_MARK, KEEP_RUN = 1.0, 0.5, 1.0, 5.0, 4.0
-THRESHOLD = 0.7
+THRESHOLD, LEAST_WEIGHT, CLEAN_SHARE = 0.7, 0.6, 0.997
 MAX_TOKEN = 48
 
 _EDGE = ".,;:!?$%&*#|()-\"'[]{}<>_`~/\\=+«»„“”‘’…"
@@ -117,145 +121,128 @@ def features(word: str) -> list[str]:
 
 
 class Cues:
-    """Cue weights by feature; a word's weight is that of its strongest feature."""
+    """Cue weights (log-odds) by feature; a word's weight is that of its strongest feature."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights, self.memo = weights, {}
 
-    def of(self, words: list[str]) -> tuple[float, float, float]:
-        """Of a document: log of 1 + cue words, the strongest weight, the sum of the three strongest."""
+    def evidence(self, words: list[str]) -> float:
+        """The sum of a document's three strongest cue words."""
         memo = self.memo
         if len(memo) > 300_000:
             memo.clear()
         hits = []
-        n = 0
-        for w, k in Counter(words).items():
+        for w in set(words):
             x = memo.get(w)
             if x is None:
                 x = memo[w] = max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
             if x:
                 hits.append(x)
-                n += k
-        hits.sort(reverse=True)
-        return float(np.log1p(n)), hits[0] if hits else 0.0, float(sum(hits[:3]))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton steps of a ridge logistic regression with intercept (first coefficient, not shrunk)."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(a.shape[1]), np.diag([1e-6] + [l2] * x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _map_words(docs: DataFrame, log_p: np.ndarray, keys: list[str], each: Callable, names: list[str], schema: str) -> DataFrame:
-    """docs(keys..., text) -> keys and what each(words) returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, f = Decoder(log_p), each()
-        for b in batches:
-            got = [f(decoder.words(t)) for t in b.column("text").to_pylist()]
-            cols = [pa.array(c, pa.float64()) for c in zip(*got)] if got else [pa.array([], pa.float64())] * len(names)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cols], names=keys + names)
-
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+        return sum(sorted(hits, reverse=True)[:3])
 
 
 def _feature_counts(sample: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """sample(text, toxic) -> (feature, toxic documents, other documents), summed per task first."""
+    """sample(text, toxic, half) -> (feature, c0..c3): documents with it that are clean or toxic in half 0, then in half 1.
+
+    Each task sums what it can hold before the shuffle.
+    """
+    names = ["feature", "c0", "c1", "c2", "c3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(log_p)
-        held = (Counter(), Counter())
+        held = [Counter() for _ in range(4)]
 
         def flush() -> pa.RecordBatch:
-            names = list(held[0].keys() | held[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[1][f] for f in names], pa.int64()), pa.array([held[0][f] for f in names], pa.int64())], names=["feature", "bad", "good"])
-            held[0].clear()
-            held[1].clear()
+            found = list(set().union(*held))
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[f] for f in found], pa.int64()) for c in held)], names=names)
+            for c in held:
+                c.clear()
             return out
 
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[y].update({f for w in set(decoder.words(t)) for f in features(w)})
-                if len(held[0]) + len(held[1]) > 400_000:
+            for t, y, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half"))):
+                held[2 * half + y].update({f for w in set(decoder.words(t)) for f in features(w)})
+                if sum(map(len, held)) > 400_000:
                     yield flush()
         yield flush()
 
-    return sample.select("text", "toxic").mapInArrow(run, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rows = sample.select("text", "toxic", "half").mapInArrow(run, "feature string, c0 long, c1 long, c2 long, c3 long")
+    return rows.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 class Model:
-    """What scoring needs: the character model, the cues and the coefficients."""
+    """What scoring needs: the character model, the cues and the evidence that scores THRESHOLD."""
 
-    def __init__(self, log_p: np.ndarray, cues: dict[str, float], coefficients: np.ndarray) -> None:
-        self.log_p, self.cues, self.coefficients = log_p, cues, coefficients
+    def __init__(self, log_p: np.ndarray, cues: dict[str, float], level: float) -> None:
+        self.log_p, self.cues, self.level = log_p, cues, level
+
+    def score(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(self.level - evidence) * (1 - THRESHOLD) / THRESHOLD)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_cues: int = 20_000) -> Model:
     """labels(doc_id, toxic), learning folds only. The character model covers all docs."""
     log_p = char_model.log_probabilities(char_model.trigram_counts(docs))
     y = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    # the least hashes: a count per hash range tells the bound below which about max_labelled rows lie
     n = y.count()
     share = 1.0 if n <= max_labelled else max_labelled / n
     y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     rows = docs.select("doc_id", "text").join(y, "doc_id").withColumn("t", F.xxhash64("text"))
-    once = rows.groupBy("t", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sample = common.stage(spark, rows.join(once.distinct(), "doc_id", "left_semi").select("text", "toxic"), "labelled")
-    size = {r["toxic"]: r["c"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
-    if not bad or not good:
-        rate = (bad + 0.5) / (bad + good + 1) if bad + good else 0.0
-        return Model(log_p, {}, np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)), 0.0, 0.0, 0.0]))
-    least = max(3, round(0.004 * bad))
-    weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    # a lower bound of the share of toxic documents among those with the feature, if both classes were as many
-    p = (F.col("bad") / bad) / (F.col("bad") / bad + (F.col("good") + 1) / good)
-    found = (
-        _feature_counts(sample, log_p).filter((F.col("bad") >= least) & (p >= 0.85) & (F.col("bad") >= F.col("good")))
-        .select("feature", "bad", weight.alias("w")).orderBy(F.desc("bad"), "feature").limit(max_cues).collect()
+    once = rows.groupBy("t", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    sample = rows.join(once, "doc_id", "left_semi").select("text", "toxic", F.pmod("t", F.lit(2)).cast("int").alias("half"))
+    sample = common.stage(spark, sample, "labelled")
+    size = {(r["half"], r["toxic"]): r["c"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
+    counts = _feature_counts(sample, log_p)
+
+    def stands_out(half: int) -> Column:
+        """Enough toxic documents of the half use it, and nine in ten of its documents are toxic if both kinds were as many."""
+        good, bad = F.col(f"c{2 * half}"), F.col(f"c{2 * half + 1}")
+        g, b = size.get((half, 0), 0), size.get((half, 1), 0)
+        if not g or not b:
+            return F.lit(False)
+        return (bad >= max(2, round(0.005 * b))) & (bad / b >= 0.9 * (bad / b + (good + 1) / g)) & (bad >= good)
+
+    def weight(good: Column, bad: Column) -> Column:
+        p, n = (bad + 0.5) / (good + bad + 1), good + bad + 1
+        return p - F.sqrt(p * (1 - p) / n)
+
+    a, b = stands_out(0), stands_out(1)
+    w = (
+        F.when(a & b, weight(F.col("c0") + F.col("c2"), F.col("c1") + F.col("c3")))
+        .when(a, weight(F.col("c2"), F.col("c3"))).when(b, weight(F.col("c0"), F.col("c1")))
     )
-    cues = {r["feature"]: r["w"] for r in found}
-    stats = _statistics(sample, log_p, cues, ["toxic"], "toxic int").toPandas()
-    coefficients = logistic(stats[["n_cues", "top", "top3"]].to_numpy(), stats["toxic"].to_numpy(np.float64))
-    return Model(log_p, cues, coefficients)
+    found = counts.select("feature", w.alias("w"), (F.col("c1") + F.col("c3")).alias("bad")).filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("bad"), "feature").limit(max_cues).collect()
+    model = Model(log_p, {r["feature"]: math.log(r["w"] / (1 - r["w"])) for r in found}, 1.0)
+    clean = _evidence(sample.filter("toxic = 0").select("text"), model, "evidence double", lambda b, x: pa.RecordBatch.from_arrays([pa.array(x, pa.float64())], names=["evidence"]))
+    level = clean.agg(F.percentile_approx("evidence", CLEAN_SHARE, 100_000).alias("p")).first()["p"]
+    model.level = max(1.0, (level or 0.0) + 0.1)
+    return model
 
 
-def _statistics(docs: DataFrame, log_p: np.ndarray, cues: dict[str, float], keys: list[str], kinds: str) -> DataFrame:
-    return _map_words(docs, log_p, keys, lambda: Cues(cues).of, ["n_cues", "top", "top3"], f"{kinds}, n_cues double, top double, top3 double")
+def _evidence(docs: DataFrame, model: Model, schema, finish: Callable) -> DataFrame:
+    """Runs finish(batch, evidence of its texts) on each batch of docs."""
+    log_p, weights = model.log_p, model.cues
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, cues = Decoder(log_p), Cues(weights)
+        for b in batches:
+            yield finish(b, [cues.evidence(decoder.words(t)) for t in b.column("text").to_pylist()])
 
-def _score(w: np.ndarray) -> Column:
-    z = F.lit(float(w[0])) + F.col("n_cues") * float(w[1]) + F.col("top") * float(w[2]) + F.col("top3") * float(w[3])
-    return 1 / (1 + F.exp(-z))
+    return docs.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score."""
-    return _statistics(docs, model.log_p, model.cues, ["doc_id"], "doc_id long").select("doc_id", _score(model.coefficients).alias("score"))
-
-
-def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return common.table(spark, sf_dir, "labels").filter(~common.held_out("doc_id"))
+    return _evidence(docs.select("doc_id", "text"), model, "doc_id long, score double", lambda b, x: pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([model.score(e) for e in x], pa.float64())], names=["doc_id", "score"]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    schema, w, log_p, weights = docs.schema, model.coefficients, model.log_p, model.cues
+    return _evidence(docs, model, docs.schema, lambda b, x: b.filter(pa.array([model.score(e) < threshold for e in x], pa.bool_())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, cues = Decoder(log_p), Cues(weights)
-        for b in batches:
-            z = [w[0] + float(np.dot(w[1:], cues.of(decoder.words(t)))) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([1 / (1 + np.exp(-x)) < threshold for x in z], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.table(spark, sf_dir, "labels").filter(~common.held_out("doc_id"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
