@@ -4,34 +4,44 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Letters that NFC and lower-casing map one to one, then marks that the pre-tokenizer keeps as one piece.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|()\-]*)")
+# Where a text holds these characters only, NFC changes nothing and lower-casing goes character by character.
+_SIMPLE, _LETTERS, _NUMBERS, _SPACES = "\x00-\xff\u2010-\u2027", "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+#: The pre-tokenizer's pattern of word vocabularies, and the same over simple characters.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile(f"[^{_SIMPLE}]")
 
 
 class Encoder:
     """Encodes texts with a vocabulary file of the tokenizers library, without special tokens.
 
-    If the vocabulary's pre-tokenizer drops white space, the ids of a text are the ids of its words one
-    after another, so each different word is encoded once. The memo is cleared at ``limit`` words, which
-    bounds memory and changes no result. Other vocabularies encode whole texts.
+    If the vocabulary cuts a text by WORD_PATTERN, drops white space and marks word ends, the ids of a
+    text are the ids of its pieces one after another, so each different piece is encoded once. The memo
+    has two generations of ``limit`` pieces at most: a full one becomes the old one, from which pieces in
+    use are taken over. This bounds memory and changes no result. Texts with other characters or with an
+    added token's string, and texts under other vocabularies, are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        cuts = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_words = cuts.get("behavior") == "Removed" and bool(cuts.get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
-        self.words: dict[bytes, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
-        if self.by_words:
+        self.by_pieces = (
+            (cuts.get("pattern") or {}).get("Regex") == WORD_PATTERN and cuts.get("behavior") == "Removed" and bool(cuts.get("invert"))
+            and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        )
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.by_pieces:
             vocab = spec["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -39,49 +49,38 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        plain, rest, bodies = [], [], set()
-        for w in words:
-            if m := _PLAIN.fullmatch(s := w.decode()):
-                body, marks = m[1].lower(), m[2]
-                plain.append((w, body, marks))
-                if body not in self.bodies:
-                    bodies.add(body)
-                if marks and marks not in self.bodies:
-                    self.bodies[marks] = self._whole([marks])[0]
-            else:
-                rest.append((w, s))
-        order = list(bodies)
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1  # a body is letters only: one piece, so one word end
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 1024):
+            part = pieces[at : at + 1024]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1  # each piece has one word end
             if len(stops) != len(part):
-                for body, x in zip(part, self._whole(part)):
-                    self.bodies[body] = x
+                self.memo.update(zip(part, self._whole(part)))
                 continue
             raw, stops = ids.tobytes(), (stops * 4).tolist()
-            for body, a, b in zip(part, [0, *stops], stops):
-                self.bodies[body] = raw[a:b]
-        for w, body, marks in plain:
-            self.words[w] = self.bodies[body] + self.bodies[marks] if marks else self.bodies[body]
-        if rest:
-            for (w, _), x in zip(rest, self._whole([s for _, s in rest])):
-                self.words[w] = x
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
-        if not self.by_words:
-            return self._whole([t or "" for t in texts])
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            self.bodies.clear()
-            new = set().union(*split)
-        self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        texts = [t or "" for t in texts]
+        if not self.by_pieces:
+            return self._whole(texts)
+        plain = [not _OTHER.search(t) and not any(x in t for x in self.added) for t in texts]
+        cut = [_PIECE.findall(t.lower()) for t, p in zip(texts, plain) if p]
+        new = set().union(*cut).difference(self.memo)
+        if len(self.memo) + len(new) > self.limit:
+            self.old, self.memo = self.memo, {}
+            new = set().union(*cut)
+        if self.old:
+            again = new & self.old.keys()
+            self.memo.update((w, self.old[w]) for w in again)
+            new -= again
+        self._learn(list(new))
+        get = self.memo.__getitem__
+        done = iter([b"".join(map(get, w)) for w in cut])
+        rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]) if not all(plain) else ())
+        return [next(done) if p else next(rest) for p in plain]
 
 
 def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
