@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .tokens import Encoder, slices
+from .tokens import shared_encoder, slices
 
 WINDOW = 2048
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
     """One row per piece (see SCHEMA); with_ids adds the piece's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
         base, made = TaskContext.get().partitionId() << 32, 0
         names: list = []  # per document of the block: its id, its ids, their number
         raws: list[bytes] = []

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Encoder, slices
+from .tokens import shared_encoder, slices
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-BITS, LANES, CHECK, BLOCK = 20, 512, 256, 1 << 18
+BITS, LANES, CHECK, BLOCK = 20, 1024, 128, 1 << 18
 _LOW = np.uint64(1 << 31)
 _HEAD = "<4sIQIIIII"
 _BITS, _WORD = np.uint64(BITS), np.uint64(32)
@@ -109,9 +109,9 @@ def decode_ids(n: int, states: np.ndarray, words: np.ndarray, t: Table, at: int
 
 
 def write_block(names: list[int | None], lengths: list[int], ids: np.ndarray, t: Table) -> bytes:
-    lanes = max(1, min(LANES, len(ids)))
+    lanes, ids = max(1, min(LANES, len(ids))), ids.astype("<u4")
     states, marks, words = encode_ids(ids, t, lanes)
-    head = struct.pack(_HEAD, b"FRB1", len(names), len(ids), lanes, len(marks), len(words), crc32(ids.astype("<u4").tobytes()), t.crc)
+    head = struct.pack(_HEAD, b"FRB1", len(names), len(ids), lanes, len(marks), len(words), crc32(ids.tobytes()), t.crc)
     parts = [head, np.array([x or 0 for x in names], "<i8").tobytes(), bytes(x is None for x in names), np.array(lengths, "<u4").tobytes(), states.astype("<u8").tobytes()]
     for at, x in marks:
         parts += [struct.pack("<I", at), x.astype("<u8").tobytes()]
@@ -147,7 +147,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """-> (doc_id, n_tokens, crc, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -162,7 +162,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -171,8 +171,9 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
         for b in batches:
-            for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(_wide(raw, n))
+            raws, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at in range(0, len(raws), 512):
+                c = np.bincount(_wide(b"".join(raws[at : at + 512]), sum(sizes[at : at + 512])))
                 if len(c) > len(held):
                     held = np.pad(held, (0, len(c) - len(held)))
                 held[: len(c)] += c
@@ -205,12 +206,12 @@ def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
         t = Table(counts)
         names: list[int | None] = []
         lengths: list[int] = []
-        raws: list[np.ndarray] = []
+        raws: list[bytes] = []
         held, start, number, part = 0, None, 0, None
 
         def block() -> pa.RecordBatch:
             nonlocal names, lengths, raws, held, start, number
-            raw = write_block(names, lengths, np.concatenate(raws), t)
+            raw = write_block(names, lengths, _wide(b"".join(raws), held), t)
             row = [[part], [number], [start], [len(names)], [held], [raw]]
             start, number = start + held, number + 1
             names, lengths, raws, held = [], [], [], 0
@@ -225,7 +226,7 @@ def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
                     part, start, number = p, before[p], 0
                 names.append(name)
                 lengths.append(n)
-                raws.append(_wide(raw, n))
+                raws.append(raw)
                 held += n
                 if held >= BLOCK:
                     yield block()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +85,17 @@ class Encoder:
         return [next(done) if p else next(rest) for p in plain]
 
 
+def shared_encoder(path: str) -> Encoder:
+    """One encoder per process and vocabulary: its memo serves all tasks that the process runs.
+
+    Functions reach executors by value, so globals of this module don't outlive a task; a module of the process does.
+    """
+    holder = sys.modules.setdefault("_flowloom_process", types.ModuleType("_flowloom_process")).__dict__.setdefault("encoders", {})
+    if path not in holder:
+        holder[path] = Encoder(path)
+    return holder[path]
+
+
 def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cuts a batch into runs of about size characters."""
     at = held = 0
