@@ -104,10 +104,10 @@ class Decoder:
         if len(self.memo) > self.limit:
             self.memo.clear()
         memo, word = self.memo, self.word
-        for t in set(tokens) - memo.keys():
+        for t in set(tokens).difference(memo):
             memo[t] = word(t)
         out = [memo[t] for t in tokens]
-        for m in _SPACED.finditer((text or "").lower()) if sum(len(t) == 1 for t in tokens) >= 3 else ():
+        for m in _SPACED.finditer((text or "").lower()) if list(map(len, tokens)).count(1) >= 3 else ():
             joined = "".join(m.group().split())
             if sum(c.isalpha() or c in LOOKS_LIKE for c in joined) >= 3:
                 out.append(self.viterbi(joined) if not joined.isalpha() or _ODD.search(joined) else joined)
