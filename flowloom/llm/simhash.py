@@ -98,7 +98,7 @@ def leaves(spark: SparkSession, fps: DataFrame, node_size: int = 2048) -> DataFr
     The descent starts at the second level, whose nodes share 28 bits: most hold one fingerprint only.
     """
     out = None
-    masks = [c for m in child_masks(0) for c in child_masks(m)]
+    masks = sorted({c for m in child_masks(0) for c in child_masks(m)})
     rows = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp")
     while True:
         rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
@@ -112,8 +112,9 @@ def leaves(spark: SparkSession, fps: DataFrame, node_size: int = 2048) -> DataFr
             return out
         children = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in child_masks(m)]))])
         split = rows.join(hot.drop("members"), ["mask", "pattern"]).select("mask", "fp")
-        rows = common.stage(spark, split.select(F.explode(children[F.col("mask")]).alias("mask"), "fp"), "split")
-        masks = [c for m in masks for c in child_masks(m)]
+        # two nodes can have a child in common
+        rows = common.stage(spark, split.select(F.explode(children[F.col("mask")]).alias("mask"), "fp").distinct(), "split")
+        masks = sorted({c for m in masks for c in child_masks(m)})
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
