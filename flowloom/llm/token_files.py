@@ -4,11 +4,11 @@ One frequency table, counted over all ids of the corpus and scaled to 2^20, is s
 block holds whole documents in ascending doc_id order and is coded by itself: its ids are dealt over
 interleaved lanes, each a 64-bit rANS state that gives off 32-bit words; every ``CHECK`` steps a
 checkpoint keeps the word position and all states, so that decoding can start there; a crc32 guards
-the decoded ids. Blocks are rows of a Parquet container, so Spark's commit protocol covers
+the coded bytes and the decoded ids. Blocks are rows of a Parquet container, so Spark's commit protocol covers
 lost executors and any store that Spark can write.
 
 Block layout (little endian): magic "FRB1", u32 documents, u64 ids, u32 lanes, u32 checkpoints, u32 words,
-u32 crc32 of the ids, u32 crc32 of the frequency table; i64 doc_id and u8 null flag per document; u32
+u32 crc32 of all that follows and of the ids, u32 crc32 of the frequency table; i64 doc_id and u8 null flag per document; u32
 length per document; u64 states; per checkpoint u32 word position and u64 states; u32 words.
 
 Defined cases: a null text is the empty text; an empty text is its end id only; a null doc_id comes
@@ -111,11 +111,11 @@ def decode_ids(n: int, states: np.ndarray, words: np.ndarray, t: Table, at: int
 def write_block(names: list[int | None], lengths: list[int], ids: np.ndarray, t: Table) -> bytes:
     lanes, ids = max(1, min(LANES, len(ids))), ids.astype("<u4")
     states, marks, words = encode_ids(ids, t, lanes)
-    head = struct.pack(_HEAD, b"FRB1", len(names), len(ids), lanes, len(marks), len(words), crc32(ids.tobytes()), t.crc)
-    parts = [head, np.array([x or 0 for x in names], "<i8").tobytes(), bytes(x is None for x in names), np.array(lengths, "<u4").tobytes(), states.astype("<u8").tobytes()]
+    parts = [np.array([x or 0 for x in names], "<i8").tobytes(), bytes(x is None for x in names), np.array(lengths, "<u4").tobytes(), states.astype("<u8").tobytes()]
     for at, x in marks:
         parts += [struct.pack("<I", at), x.astype("<u8").tobytes()]
-    return b"".join([*parts, words.astype("<u4").tobytes()])
+    body = b"".join([*parts, words.astype("<u4").tobytes()])
+    return struct.pack(_HEAD, b"FRB1", len(names), len(ids), lanes, len(marks), len(words), crc32(ids.tobytes(), crc32(body)), t.crc) + body
 
 
 def read_block(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def read_block(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.n
         starts.append((where, take("<u8", lanes).astype(np.uint64)))
     words = take("<u4", n_words)
     ids = np.concatenate([decode_ids(n, x, words, t, where, k * CHECK, (k + 1) * CHECK if k < n_marks else None) for k, (where, x) in enumerate(starts)]).astype("<u4")
-    if crc32(ids.tobytes()) != sum_:
+    if crc32(ids.tobytes(), crc32(memoryview(raw)[struct.calcsize(_HEAD) :])) != sum_:
         raise ValueError("checksum of a block")
     return [None if z else x for x, z in zip(names, nulls.tolist())], lengths, ids
 
