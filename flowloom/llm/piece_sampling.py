@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbered(chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Each chunk's number among the different ones, and these."""
+    if any("\0" in c for c in chunks):  # pandas reads strings up to a NUL
+        number: dict[str, int] = {}
+        return np.array([number.setdefault(c, len(number)) for c in chunks], np.int64), list(number)
+    kind, kinds = pd.factorize(np.array(chunks, object))
+    return kind, kinds.tolist()
+
+
 def draws(rows: np.ndarray, chunks: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
     """Numbers in [0, 1) by row seed, chunk and step."""
     x = rows + chunks.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(steps).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
@@ -91,30 +101,31 @@ class Sampler:
                     known.setdefault(h, (0.0, -1))
         hashes = np.array(sorted(known), np.uint64)
         values = [known[int(h)] for h in hashes]
-        self.slots = 1 << 22
-        # two tables, each by other bits of the hash; what both places refuse goes to a short sorted list
-        self.tables = []
-        for shift in (42, 20):
-            place = ((hashes >> np.uint64(shift)) & np.uint64(self.slots - 1)).astype(np.int64)
-            _, first = np.unique(place, return_index=True)
-            table = np.full(self.slots, -1, np.int32)
-            table[place[first]] = first
-            self.tables.append((np.uint64(shift), table))
+        # tables of places by a multiple of the hash; what a table has no room for goes to the next, smaller one
         self.hashes, self.weights, self.piece_ids = hashes, np.array([v[0] for v in values]), np.array([v[1] for v in values], np.int32)
-        self.left = np.flatnonzero(self._find(hashes, rest=False) < 0)
+        self.tables, left = [], np.arange(len(hashes))
+        for factor, bits in ((0x9E3779B97F4A7C15, 21), (0xBF58476D1CE4E5B9, 16), (0x94D049BB133111EB, 16), (0xD1B54A32D192ED03, 16)):
+            place = self._place(hashes[left], factor, bits)
+            _, first = np.unique(place, return_index=True)
+            table = np.full(1 << bits, -1, np.int32)
+            table[place[first]] = left[first]
+            self.tables.append((factor, bits, table))
+            left = np.delete(left, first)
+            if not len(left):
+                return
+        raise ValueError("the vocabulary's endings do not fit the tables")
+
+    @staticmethod
+    def _place(h: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((h * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def _find(self, h: np.ndarray, rest: bool = True) -> np.ndarray:
+    def _find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the endings, or -1."""
         out = np.full(len(h), -1, np.int64)
-        for shift, table in self.tables:
-            at = table[((h >> shift) & np.uint64(self.slots - 1)).astype(np.int64)]
+        for factor, bits, table in self.tables:
+            at = table[self._place(h, factor, bits)]
             same = (at >= 0) & (self.hashes[at] == h)
             out[same] = at[same]
-        if rest and len(self.left):
-            k = np.searchsorted(self.hashes[self.left], h)
-            k[k == len(self.left)] = 0
-            same = self.hashes[self.left[k]] == h
-            out[same] = self.left[k][same]
         return out
 
     def row_seed(self, key) -> int:
@@ -133,7 +144,7 @@ class Sampler:
         code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         at = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens) + 1  # place in the chunk, from 1
         live, h, power = np.arange(len(code)), np.zeros(len(code), np.uint64), 1
-        ends, sizes, places = [], [], []
+        ends, places = [], []
         for n in range(1, self.longest + 1):
             h = h + code[live - (n - 1)] * np.uint64(power)
             power = power * _BASE & (1 << 64) - 1
@@ -143,21 +154,26 @@ class Sampler:
             piece = self.piece_ids[found] >= 0
             ends.append(live[piece])
             places.append(found[piece])
-            sizes.append(np.full(int(piece.sum()), n, np.int64))
             more = at[live] > n
             live, h = live[more], h[more]
-        none = np.flatnonzero(np.bincount(np.concatenate(ends), minlength=len(code)) == 0)  # no piece ends here: the character's bytes
-        ends, sizes, places = ends[::-1], sizes[::-1], places[::-1]  # long pieces first
-        end, size = np.concatenate([*ends, none]), np.concatenate([*sizes, np.ones(len(none), np.int64)])
-        w = np.concatenate([self.weights[np.concatenate(places)], np.ones(len(none))])
-        ids = np.concatenate([self.piece_ids[np.concatenate(places)], np.array([self._spell(text[i]) for i in none.tolist()], np.int32)])
-        order = np.argsort(end, kind="stable")
-        end, size, w, ids = end[order], size[order], w[order], ids[order]
-        first = np.concatenate(([0], np.cumsum(np.bincount(end, minlength=len(code)))))
+        count = np.bincount(np.concatenate(ends), minlength=len(code))
+        none = np.flatnonzero(count == 0)  # no piece ends here: the character's bytes
+        count[none] = 1
+        first = np.concatenate(([0], np.cumsum(count)))
+        free = first[:-1].copy()  # the next place of each character's edges; long pieces come first
+        total = int(first[-1])
+        end, size, w, ids = np.empty(total, np.int64), np.ones(total, np.int64), np.ones(total), np.empty(total, np.int32)
+        for n in range(self.longest, 0, -1):
+            place = free[ends[n - 1]]
+            free[ends[n - 1]] += 1
+            end[place], size[place], w[place], ids[place] = ends[n - 1], n, self.weights[places[n - 1]], self.piece_ids[places[n - 1]]
+        end[free[none]] = none
+        ids[free[none]] = [self._spell(text[i]) for i in none.tolist()]
         alpha = np.ones(len(code) + 1)  # of the state after each character; the last place is every chunk's start
-        source = np.where(at[end] == size, len(code), end - size)
-        by_place = np.argsort(at[end], kind="stable")
-        stops = np.cumsum(np.bincount(at[end]))
+        place = at[end]
+        source = np.where(place == size, len(code), end - size)
+        by_place = np.argsort(place.astype(np.uint8), kind="stable")
+        stops = np.cumsum(np.bincount(place))
         for a, b in zip(stops, stops[1:]):
             e = by_place[a:b]
             heads = np.flatnonzero(np.concatenate(([True], end[e][1:] != end[e][:-1])))
@@ -242,20 +258,16 @@ class Sampler:
                 for i in odd:
                     found[i] = ""
             cut.append(found)
-        every = [c for part in cut for c in part]
-        kinds = sorted(set(every) - {""})
-        number = {c: i for i, c in enumerate(kinds)}
-        number[""] = len(kinds)
-        keys, ids, size, first = self._filter(kinds) if kinds else (np.empty(0),) * 4
-        kind = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        lens = np.array([*map(len, kinds), 0], np.int64)
+        kind, kinds = _numbered([c for part in cut for c in part])
+        lens = np.fromiter(map(len, kinds), np.int64, len(kinds))
+        keys, ids, size, first = self._filter(kinds) if lens.any() else (np.empty(0),) * 4
         last = np.cumsum(lens) - 1
         sizes = np.array([len(c) for c in cut], np.int64)
         starts = np.cumsum(sizes) - sizes
         row = np.repeat(np.array(rows, np.uint64), sizes)
-        place = np.arange(len(every)) - np.repeat(starts, sizes)
+        place = np.arange(len(kind)) - np.repeat(starts, sizes)
         state, stop = last[kind], (last - lens)[kind]
-        count = np.zeros(len(every), np.int64)
+        count = np.zeros(len(kind), np.int64)
         live, step, got = np.flatnonzero(lens[kind]), 0, []
         while len(live):
             i = state[live]
