@@ -49,6 +49,11 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, out of the way of whatever an operator adds; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

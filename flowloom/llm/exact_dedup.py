@@ -54,12 +54,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, support: float = 1e-
 
     The rows are numbered once, in a staged copy, so that a kept row is found again by its number.
     """
-    uid, digest = "__uid", "__digest"
-    numbered = common.stage(spark, docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(digest, text_digest(F.col("text"))), "numbered")
-    digests = numbered.select("doc_id", F.col(uid).alias("uid"), F.col(digest).alias("text_sha256"))
-    settled = _settle(digests, support)
-    gone = settled.filter(F.col("uid") != F.col("first.uid")).select(F.col("uid").alias(uid))
-    return numbered.join(gone, uid, "left_anti").select(*docs.columns)
+    row = docs.select(common.whole_row(docs).alias("row"), "doc_id", F.monotonically_increasing_id().alias("uid"), text_digest(F.col("text")).alias("text_sha256"))
+    numbered = common.stage(spark, row, "numbered")
+    gone = _settle(numbered.drop("row"), support).filter(F.col("uid") != F.col("first.uid")).select("uid")
+    return numbered.join(gone, "uid", "left_anti").select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

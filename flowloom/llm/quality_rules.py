@@ -73,7 +73,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "n_bang": _without(r"!+"),
         "n_stop": _without(r"[.!?]+"),
     }
-    keep = [F.col(c) for c in docs.columns if c not in COUNTS]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
     return df.select(*keep, "n_words", *[c.cast("long").alias(n) for n, c in added.items()])
 
 
@@ -156,7 +156,7 @@ def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataF
 
 def keep_good(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    slim = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    slim = docs.select(common.whole_row(docs).alias("__row"), "text")
     scored = common.stage(spark, counts(slim).withColumn("__pattern", pattern()).drop("text"), "rule-rows")
     return scored.filter(_kept(scored, threshold)).select("__row.*")
 

@@ -254,12 +254,11 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (of repeated ids one row)."""
-    uid = "__uid"
-    numbered = common.stage(spark, docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
-    prints = common.stage(spark, fingerprints(numbered, "doc_id", uid), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(uid))
-    stay = components(spark, prints, first).select(F.col(f"first.{uid}").alias(uid)).distinct()
-    return numbered.join(stay, uid, "left_semi").select(*docs.columns)
+    numbered = common.stage(spark, docs.select(common.whole_row(docs).alias("row"), "doc_id", F.monotonically_increasing_id().alias("uid")), "numbered")
+    prints = common.stage(spark, fingerprints(numbered.select("doc_id", "uid", "row.text"), "doc_id", "uid"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))
+    stay = components(spark, prints, first).select("first.uid").distinct()
+    return numbered.join(stay, "uid", "left_semi").select("row.*")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

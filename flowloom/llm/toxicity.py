@@ -220,13 +220,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
 
 
 def _evidence(docs: DataFrame, model: Model, schema, finish: Callable) -> DataFrame:
-    """Runs finish(batch, evidence of its texts) on each batch of docs."""
+    """Runs finish(batch, evidence of its texts) on each batch of docs (with a text column, or one struct 'row' that has it)."""
     log_p, weights = model.log_p, model.cues
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, cues = Decoder(log_p), Cues(weights)
         for b in batches:
-            yield finish(b, [cues.evidence(decoder.words(t)) for t in b.column("text").to_pylist()])
+            texts = b.column("row").field("text") if "row" in b.schema.names else b.column("text")
+            yield finish(b, [cues.evidence(decoder.words(t)) for t in texts.to_pylist()])
 
     return docs.mapInArrow(run, schema)
 
@@ -238,7 +239,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    return _evidence(docs, model, docs.schema, lambda b, x: b.filter(pa.array([model.score(e) < threshold for e in x], pa.bool_())))
+    rows = docs.select(common.whole_row(docs).alias("row"))
+    return _evidence(rows, model, rows.schema, lambda b, x: b.filter(pa.array([model.score(e) < threshold for e in x], pa.bool_()))).select("row.*")
 
 
 def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
