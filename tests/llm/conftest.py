@@ -10,8 +10,8 @@ def docs_of(spark):
 
     def make(rows):
         rows = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
-        full = [(i, t, "en", "src", 0, 1.5, "x") for i, t in rows]
-        return spark.createDataFrame(full, DOC + ", score double, fp string").repartition(3)
+        full = [(i, t, "en", "src", 0, 1.5, "x", 7, "u", 3) for i, t in rows]
+        return spark.createDataFrame(full, DOC + ", score double, fp string, uid int, `a.b` string, n_words int").repartition(3)
 
     return make
 
