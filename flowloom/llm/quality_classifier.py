@@ -29,7 +29,7 @@ from . import common
 NAMES = ("words", "word_length", "symbols", "upper", "bangs", "stops", "digits", "distinct", "shingles", "echoes", "lines", "copied")
 THRESHOLD = 0.5
 #: Words of usual prose added to each text's counts, so that ratios of short texts are no extremes.
-_PRIOR = 20
+_PRIOR = 40
 _NOT_SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
 _NOT_UPPER = bytes(set(range(256)) - set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 _NOT_STOPS = bytes(set(range(256)) - set(b".!?"))
@@ -61,7 +61,7 @@ def statistics(text: str | None) -> tuple[float, ...]:
         (len(set(zip(words, words[1:], words[2:]))) + _PRIOR) / (grams + _PRIOR),
         per_word(sum(map(eq, words, words[1:]))),
         math.log((n + _PRIOR) / (len(lines) + 1)),
-        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 2)),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 10)),
     )
 
 

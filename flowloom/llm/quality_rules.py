@@ -92,7 +92,7 @@ def votes() -> list[Column]:
     ordinary = (symbols < 0.03) & (repeats < 0.5) & (upper < 0.15) & (bangs < 0.05) & (mean >= 3) & (mean <= 9) & (stops >= 0.02)
     return [
         bad(symbols > 0.08),
-        bad(repeats > 0.3),
+        bad(repeats > 0.45),
         bad((F.col("n_lines") >= 3) & (copied > 0.5)),
         bad(upper > 0.4),
         bad(bangs > 0.2),

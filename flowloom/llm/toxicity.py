@@ -11,9 +11,9 @@ documents use far more than others, counted by document over a sample of labelle
 ``max_labelled`` at most, those of least id hash, each text once). The sample has two halves: a cue that
 stands out in one half gets its weight, the share of toxic documents among those that use it, from the
 other, less one standard error, so chance finds weigh little and those under ``LEAST_WEIGHT`` nothing.
-The evidence of a document is the sum of the log-odds of its three strongest cue words; the evidence
-that CLEAN_SHARE of the clean labelled documents stay below (1 at least) scores 0.7, the rest follows
-the logistic curve. Labels come from the learning folds only.
+The evidence of a document is the sum of the log-odds of its three strongest cue words; the level that
+parts the labelled sample with the fewest errors (a clean document counts CLEAN_COST times) scores 0.7,
+the rest follows the logistic curve. Labels come from the learning folds only.
 
 Defined cases: null and empty texts and texts without cues have the lowest score; rows with null labels
 teach nothing; without labels of both kinds there are no cues and all scores are equal; repeated rows get one row each; an empty table gives an empty result; extra columns
@@ -41,7 +41,7 @@ LOOKS_LIKE = {
 }
 #: Channel costs in nats: a look-alike, a dropped repeat, a dropped separator, a dropped mark that could be a letter, a kept third repeat.
 SWAP, REPEAT, SEPARATOR, DROP_MARK, KEEP_RUN = 1.0, 0.5, 1.0, 5.0, 4.0
-THRESHOLD, LEAST_WEIGHT, CLEAN_SHARE = 0.7, 0.6, 0.997
+THRESHOLD, LEAST_WEIGHT, CLEAN_COST = 0.7, 0.6, 1
 MAX_TOKEN = 48
 
 _EDGE = ".,;:!?$%&*#|()-\"'[]{}<>_`~/\\=+«»„“”‘’…"
@@ -213,12 +213,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     )
     found = counts.select("feature", w.alias("w"), (F.col("c1") + F.col("c3")).alias("bad")).filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("bad"), "feature").limit(max_cues).collect()
     model = Model(log_p, {r["feature"]: math.log(r["w"] / (1 - r["w"])) for r in found}, 1.0)
-    clean = _evidence(sample.filter("toxic = 0").select("text"), model, "evidence double", lambda b, x: pa.RecordBatch.from_arrays([pa.array(x, pa.float64())], names=["evidence"]))
-    level = clean.agg(F.percentile_approx("evidence", CLEAN_SHARE, 100_000).alias("p")).first()["p"]
-    model.level = max(1.0, (level or 0.0) + 0.1)
+    judged = _evidence(
+        sample.select("text", "toxic"), model, "toxic int, evidence double",
+        lambda b, x: pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(x, pa.float64())], names=["toxic", "evidence"]),
+    ).toPandas()
+    model.level = best_level(judged["evidence"].to_numpy(np.float64), judged["toxic"].to_numpy(np.int64))
     return model
 
 
+def best_level(evidence: np.ndarray, toxic: np.ndarray, least: float = 1.0) -> float:
+    """The level (least or more) with the fewest errors at or above it and below it, a clean document counting CLEAN_COST times.
+
+    It lies between two values that occur; of equally good places the middle one of the lowest run is taken.
+    """
+    order = np.argsort(evidence, kind="stable")
+    e, y = evidence[order], toxic[order]
+    cuts = np.unique(np.concatenate(([least], e[e > least])))
+    below = np.searchsorted(e, cuts, side="left")
+    missed = np.concatenate(([0], np.cumsum(y)))[below]
+    hurt = (1 - y).sum() - np.concatenate(([0], np.cumsum(1 - y)))[below]
+    k = int(np.argmin(missed + CLEAN_COST * hurt))
+    return float(max(least, (cuts[k] + cuts[k - 1]) / 2)) if k else least
+
+
 def _evidence(docs: DataFrame, model: Model, schema, finish: Callable) -> DataFrame:
     """Runs finish(batch, evidence of its texts) on each batch of docs (with a text column, or one struct 'row' that has it)."""
     log_p, weights = model.log_p, model.cues
