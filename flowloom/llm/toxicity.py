@@ -187,10 +187,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
     n = y.count()
     share = 1.0 if n <= max_labelled else max_labelled / n
     y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = docs.select("doc_id", "text").join(y, "doc_id").withColumn("t", F.xxhash64("text"))
+    # the labels are about max_labelled rows now, so they can be broadcast: no text but theirs moves
+    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").withColumn("t", F.xxhash64("text"))
+    rows = common.stage(spark, rows, "labelled")
     once = rows.groupBy("t", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     sample = rows.join(once, "doc_id", "left_semi").select("text", "toxic", F.pmod("t", F.lit(2)).cast("int").alias("half"))
-    sample = common.stage(spark, sample, "labelled")
+    sample = common.stage(spark, sample.repartition(max(1, spark.sparkContext.defaultParallelism)), "sample")
     size = {(r["half"], r["toxic"]): r["c"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("c")).collect()}
     counts = _feature_counts(sample, log_p)
 
