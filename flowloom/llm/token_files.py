@@ -143,22 +143,28 @@ def read_block(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.n
     return [None if z else x for x, z in zip(names, nulls.tolist())], lengths, ids
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """-> (doc_id, n_tokens, crc, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> DataFrame:
+    """-> (part, doc_id, n_tokens, crc, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit.
+
+    part: how many of the ascending cuts lie below the doc_id; 0 for a null one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
+        bounds = np.array(cuts, np.int64)
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             texts = b.column("text").to_pylist()
             for x, y in slices(texts):
                 raws = [raw + end for raw in encoder.encode(texts[x:y])]
+                names = b.column("doc_id").slice(x, y - x).cast(pa.int64())
+                part = np.searchsorted(bounds, names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
-                    names=["doc_id", "n_tokens", "crc", "ids"],
+                    [pa.array(part.astype(np.int32)), names, pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
+                    names=["part", "doc_id", "n_tokens", "crc", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n_tokens long, crc long, ids binary")
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
@@ -188,15 +194,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> np.ndarray:
     """Writes the ids of docs to path, in ascending doc_id order; returns the counts behind the frequency table."""
-    tokens = common.stage(spark, encoded(docs, vocabulary, end_id), "tokens")
-    counts = id_counts(tokens)
-    table = Table(counts)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = tokens.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    dealt = tokens.withColumn("part", F.size(F.filter(bounds, lambda x: x < F.col("doc_id"))))
-    dealt = dealt.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("part")))
-    totals = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per partition
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * parts).alias("q")).first()["q"] or []))[: parts - 1]
+    tokens = common.stage(spark, encoded(docs, vocabulary, end_id, cuts), "tokens")
+    counts = id_counts(tokens)
+    totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per partition
     before, at = {}, 0
     for p in sorted(totals):
         before[p] = at
@@ -233,7 +236,7 @@ def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
         if names:
             yield block()
 
-    ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc")
+    ordered = tokens.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc")
     ordered.select("part", "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, block int, start long, n_docs long, n_ids long, data binary").write.parquet(path)
     return counts
 
