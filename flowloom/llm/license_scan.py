@@ -19,6 +19,7 @@ name; an empty table gives an empty result; columns other than doc_id and text a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,11 +143,12 @@ class Scanner:
                 m, x, y = aligned(template, part, a - BAND - start, b + BAND - start)
                 if m >= COVERAGE * len(template):
                     found.append((m, m / len(template), self.names[t], start + x, start + y))
-        kept: list[tuple[str, int, int, int, float]] = []
+        kept: list[tuple[int, int, str, int, float]] = []  # spans in order, none of which overlap
         for m, c, name, x, y in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if all(y <= a or b <= x for _, a, b, _, _ in kept):
-                kept.append((name, x, y, m, c))
-        return sorted(kept, key=lambda f: f[1:3])
+            i = bisect_left(kept, (x, y))
+            if (i == 0 or kept[i - 1][1] <= x) and (i == len(kept) or y <= kept[i][0]):
+                kept.insert(i, (x, y, name, m, c))
+        return [(name, x, y, m, c) for x, y, name, m, c in kept]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

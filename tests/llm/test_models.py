@@ -3,7 +3,6 @@ from zlib import crc32
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from flowloom.llm import char_model, common, license_scan, quality_classifier, toxicity
 
@@ -202,4 +201,3 @@ def test_winnowing_hits_every_long_run():
         grams, need = s.grams(ids), license_scan.K + license_scan.WINNOW - 1
         for at in range(len(ids) - need + 1):
             assert np.isin(grams[at : at + license_scan.WINNOW], s.keys).any(), name
-    assert F is not None
