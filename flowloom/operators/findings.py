@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.schemas import DEFAULT_EDGE_KINDS, MAX_DEPTH, Graph
+from ..plans.staging import staged
 from ..sources import rules as catalog
 from . import reach, roles
 
@@ -47,8 +48,9 @@ def find_flows(spark: SparkSession, graph: Graph, config: Config | None = None)
     """The findings table (COLUMNS) of all modules of a graph."""
     config = config or Config()
     rule_rows = catalog.rules(spark) if config.rules is None else config.rules
-    hits = roles.rule_hits(graph.nodes, rule_rows)
-    found = roles.roles_of(hits, graph.edges)
+    # both are read by several later steps: written once instead of worked out again
+    hits = staged(spark, roles.rule_hits(graph.nodes, rule_rows), "hits")
+    found = staged(spark, roles.roles_of(hits, graph.edges), "roles")
     by_role = {r: found.filter(F.col("role") == r).select("module_id", "node_id").distinct() for r in roles.PRIORITY}
     starts = by_role["source"].withColumnRenamed("node_id", "source_id")
     if config.mode == "all_paths":
@@ -64,7 +66,7 @@ def find_flows(spark: SparkSession, graph: Graph, config: Config | None = None)
         paths = reach.shortest_paths(spark, graph.edges, starts, config.max_depth, config.edge_kinds)
     else:
         paths = reach.shortest_paths_grouped(graph.edges, starts, config.max_depth, config.edge_kinds)
-    to_sinks = paths.join(by_role["sink"], ["module_id", "node_id"], "left_semi")
+    to_sinks = staged(spark, paths.join(by_role["sink"], ["module_id", "node_id"], "left_semi"), "paths")
     clean = to_sinks.join(sanitized_keys(to_sinks, by_role["sanitizer"]), ["module_id", "source_id", "node_id"], "left_anti").withColumnRenamed("node_id", "sink_id")
     rows = _ordered(clean, found).join(roles.first_sink_rule(hits), ["module_id", "sink_id"], "left")
     return rows.withColumn("sanitized", F.lit(False)).select(*COLUMNS)
