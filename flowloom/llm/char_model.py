@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import runs
 
 #: 0 is any character but a letter, 1-26 a-z, 27-58 the letters from U+00DF to U+00FF (U+00F7 aside), 59 other letters
 ALPHABET = 64
@@ -38,9 +38,8 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = codes(), np.zeros(ALPHABET**3, np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for x, y in slices(texts):
-                units = np.frombuffer(" ".join([" ", *(t or "" for t in texts[x:y]), " "]).encode("utf-16-le"), "<u2")
+            for _, _, texts in runs(b.column(0)):
+                units = np.frombuffer(" ".join([" ", *(t or "" for t in texts), " "]).encode("utf-16-le"), "<u2")
                 c = table[units].astype(np.int32)
                 c = c[np.concatenate(([True], (c[1:] | c[:-1]) != 0))]  # runs of other characters count once
                 held += np.bincount((c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:], minlength=ALPHABET**3)

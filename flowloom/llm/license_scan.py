@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .tokens import runs
 
 K, WINNOW, BAND, COVERAGE = 3, 3, 8, 0.8
 _WORD = re.compile("[a-z0-9]+")
@@ -158,7 +159,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
         scanner = Scanner(templates)
         for b in batches:
             rows = []
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            keys = iter(b.column("doc_id").to_pylist())
+            for text in (t for _, _, texts in runs(b.column("text")) for t in texts):
+                key = next(keys)
                 for name, x, y, m, c in scanner.scan(text):
                     rows.append((key, name, x, y, m, c, " ".join(words_of(text)[x:y])))
             cols = list(zip(*rows)) or [()] * 7

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .tokens import shared_encoder, slices
+from .tokens import runs, shared_encoder
 
 WINDOW = 2048
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -159,9 +159,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
             return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids)
 
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for x, y in slices(texts):
-                for name, raw in zip(ids[x:y], encoder.encode(texts[x:y])):
+            ids = b.column("doc_id").to_pylist()
+            for x, y, texts in runs(b.column("text")):
+                for name, raw in zip(ids[x:y], encoder.encode(texts)):
                     raw += end
                     d, n = len(names), len(raw) // 4
                     names.append(name)
@@ -174,6 +174,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
                     if held >= block_tokens:
                         yield block(False)
         yield block(True)
+        encoder.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
 

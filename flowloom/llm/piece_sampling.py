@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .tokens import slices
+from .tokens import runs
 
 VOCABULARY, SPACE = "piece_bpe_32k.model", "▁"
 _CHUNK = re.compile(rf"{SPACE}*(?:[^\W\d_]+|(?:[\d_]|[^\w{SPACE}])+)|{SPACE}+")
@@ -323,13 +323,13 @@ def sample_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, theta: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = shared_sampler(common.vocabulary(vocabulary), theta, seed)
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for x, y in slices(texts, 1 << 21):
-                found = sampler.encode(texts[x:y], [sampler.row_seed(k) for k in keys[x:y]])
+            keys = b.column("doc_id").to_pylist()
+            for x, y, texts in runs(b.column("text"), 1 << 21):
+                found = sampler.encode(texts, [sampler.row_seed(k) for k in keys[x:y]])
                 back = [sampler.decode(f) for f in found]
                 cols = [
                     pa.array(keys[x:y], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([crc32(f.astype("<u4").tobytes()) for f in found], pa.int64()),
-                    pa.array([crc32(t.encode()) for t in back], pa.int64()), pa.array([t == (o or "") for t, o in zip(back, texts[x:y])], pa.bool_()),
+                    pa.array([crc32(t.encode()) for t in back], pa.int64()), pa.array([t == (o or "") for t, o in zip(back, texts)], pa.bool_()),
                 ]
                 if with_ids:
                     cols.append(pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import runs
 
 NAMES = ("words", "word_length", "symbols", "upper", "bangs", "stops", "digits", "distinct", "shingles", "echoes", "lines", "copied")
 THRESHOLD = 0.5
@@ -70,7 +71,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*map(statistics, b.column("text").to_pylist()))) or [()] * len(NAMES)
+            cols = list(zip(*(statistics(t) for _, _, texts in runs(b.column("text")) for t in texts))) or [()] * len(NAMES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", *NAMES])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in NAMES))

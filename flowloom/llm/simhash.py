@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected
+from .tokens import runs
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 FINAL_BITS, LEAF, FAN = 16, 16, 8
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())
+            fp = pa.array([fingerprint(t) for _, _, texts in runs(b.column("text")) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), fp], names=[*keys, "fp"])
 
     return source.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import shared_encoder, slices
+from .tokens import runs, shared_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 BITS, LANES, CHECK, BLOCK = 20, 1024, 128, 1 << 18
@@ -154,15 +154,15 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> D
         bounds = np.array(cuts, np.int64)
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for x, y in slices(texts):
-                raws = [raw + end for raw in encoder.encode(texts[x:y])]
+            for x, y, texts in runs(b.column("text")):
+                raws = [raw + end for raw in encoder.encode(texts)]
                 names = b.column("doc_id").slice(x, y - x).cast(pa.int64())
                 part = np.searchsorted(bounds, names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part.astype(np.int32)), names, pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
                     names=["part", "doc_id", "n_tokens", "crc", "ids"],
                 )
+        encoder.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n_tokens long, crc long, ids binary")
 

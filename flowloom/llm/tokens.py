@@ -9,6 +9,8 @@ import types
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Where a text holds these characters only, NFC changes nothing and lower-casing goes character by character.
 _SIMPLE, _LETTERS, _NUMBERS, _SPACES = "\x00-\xff\u2010-\u2027", "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -41,13 +43,17 @@ class Encoder:
             and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # piece -> its ids
         self.old: dict[str, bytes] = {}
         if self.by_pieces:
             vocab = spec["model"]["vocab"]
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def trim(self) -> None:
+        """Between tasks only the newer generation is kept."""
+        self.old = {}
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -96,13 +102,12 @@ def shared_encoder(path: str) -> Encoder:
     return holder[path]
 
 
-def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of about size characters."""
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def runs(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Cuts a text column into runs of about size bytes: (first, last + 1, texts). Only one run is held as Python strings."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    at = 0
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="left")) + 1
+        stop = min(stop, len(ends), at + 4096)
+        yield at, stop, column.slice(at, stop - at).to_pylist()
+        at = stop

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import char_model, common
+from .tokens import runs
 
 #: Letters that a character may stand for.
 LOOKS_LIKE = {
@@ -53,7 +54,7 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?![^\s.,;:!?])")
 class Decoder:
     """Restores words. log_p: char_model.log_probabilities."""
 
-    def __init__(self, log_p: np.ndarray, limit: int = 300_000) -> None:
+    def __init__(self, log_p: np.ndarray, limit: int = 100_000) -> None:
         self.p, self.code, self.limit = log_p, char_model.codes(), limit
         self.memo: dict[str, str] = {}
 
@@ -129,7 +130,7 @@ class Cues:
     def evidence(self, words: list[str]) -> float:
         """The sum of a document's three strongest cue words."""
         memo = self.memo
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         hits = []
         for w in set(words):
@@ -162,7 +163,7 @@ def _feature_counts(sample: DataFrame, log_p: np.ndarray) -> DataFrame:
         for b in batches:
             for t, y, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half"))):
                 held[2 * half + y].update({f for w in set(decoder.words(t)) for f in features(w)})
-                if sum(map(len, held)) > 400_000:
+                if sum(map(len, held)) > 200_000:
                     yield flush()
         yield flush()
 
@@ -245,8 +246,8 @@ def _evidence(docs: DataFrame, model: Model, schema, finish: Callable) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, cues = Decoder(log_p), Cues(weights)
         for b in batches:
-            texts = b.column("row").field("text") if "row" in b.schema.names else b.column("text")
-            yield finish(b, [cues.evidence(decoder.words(t)) for t in texts.to_pylist()])
+            column = b.column("row").field("text") if "row" in b.schema.names else b.column("text")
+            yield finish(b, [cues.evidence(decoder.words(t)) for _, _, texts in runs(column) for t in texts])
 
     return docs.mapInArrow(run, schema)
 
