@@ -174,7 +174,6 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, wi
                     if held >= block_tokens:
                         yield block(False)
         yield block(True)
-        encoder.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<long>" if with_ids else ""))
 

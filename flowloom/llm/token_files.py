@@ -162,7 +162,6 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> D
                     [pa.array(part.astype(np.int32)), names, pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
                     names=["part", "doc_id", "n_tokens", "crc", "ids"],
                 )
-        encoder.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n_tokens long, crc long, ids binary")
 

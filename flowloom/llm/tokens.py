@@ -50,10 +50,6 @@ class Encoder:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def trim(self) -> None:
-        """Between tasks only the newer generation is kept."""
-        self.old = {}
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
