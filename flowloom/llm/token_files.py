@@ -146,22 +146,28 @@ def read_block(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.n
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> DataFrame:
     """-> (part, doc_id, n_tokens, crc, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit.
 
-    part: how many of the ascending cuts lie below the doc_id; 0 for a null one.
+    part: how many of the ascending cuts lie below the doc_id; 0 for a null one. Each task ends with a row
+    of part -1, whose ids are its counts of the ids from 0 on, as 64-bit numbers: texts and ids are read once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
-        bounds = np.array(cuts, np.int64)
+        bounds, seen = np.array(cuts, np.int64), np.zeros(0, np.int64)
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             for x, y, texts in runs(b.column("text")):
                 raws = [raw + end for raw in encoder.encode(texts)]
+                c = np.bincount(np.frombuffer(b"".join(raws), "<u4"))
+                seen = np.pad(seen, (0, max(0, len(c) - len(seen))))
+                seen[: len(c)] += c
                 names = b.column("doc_id").slice(x, y - x).cast(pa.int64())
                 part = np.searchsorted(bounds, names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part.astype(np.int32)), names, pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
                     names=["part", "doc_id", "n_tokens", "crc", "ids"],
                 )
+        last = (pa.array([-1], pa.int32()), *(pa.array([None], pa.int64()),) * 3, pa.array([seen.tobytes()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(last), names=["part", "doc_id", "n_tokens", "crc", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n_tokens long, crc long, ids binary")
 
@@ -171,21 +177,16 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs, over all documents: one partial table per task, then sums; as many rows as ids."""
+    """How often each id occurs, over all documents: the sum of the tasks' counts; as many rows as ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64)
         for b in batches:
-            raws, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(raws), 512):
-                c = np.bincount(_wide(b"".join(raws[at : at + 512]), sum(sizes[at : at + 512])))
-                if len(c) > len(held):
-                    held = np.pad(held, (0, len(c) - len(held)))
-                held[: len(c)] += c
-        seen = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["id", "c"])
-
-    rows = tokens.select("ids", "n_tokens").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
+            for raw in b.column(0).to_pylist():
+                held = np.frombuffer(raw, "<i8")
+                seen = np.flatnonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["id", "c"])
+
+    rows = tokens.filter("part = -1").select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
     return out
@@ -197,7 +198,7 @@ def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
     shares = [i / parts for i in range(1, parts)] or [0.5]
     cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * parts).alias("q")).first()["q"] or []))[: parts - 1]
     tokens = common.stage(spark, encoded(docs, vocabulary, end_id, cuts), "tokens")
-    counts = id_counts(tokens)
+    counts, tokens = id_counts(tokens), tokens.filter("part >= 0")
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per partition
     before, at = {}, 0
     for p in sorted(totals):
