@@ -128,3 +128,67 @@ def test_documents(spark, docs_of):
     left = S.drop_near_copies(spark, df)
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(least.values()))
     assert S.near_groups(spark, df.limit(0)).isEmpty() and S.drop_near_copies(spark, df.limit(0)).isEmpty()
+
+
+def shingle_sets(texts, k=5):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+    return [{" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+
+
+def similar_survivors(rows):
+    """Brute force: the least id of each component of rows (id, text) whose 5-word sets have a similarity of 0.8 or more."""
+    sets = shingle_sets([t for _, t in rows])
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                pairs += 1
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least.setdefault(root(i), []).append(k)
+    return sorted(min(x) for x in least.values()), pairs
+
+
+@pytest.mark.parametrize("node_size", [4, 2048])
+def test_similar_texts_against_brute_force(spark, docs_of, node_size):
+    """Edited copies (far beyond 3 bits), a large group of them, texts below 0.8, short and empty texts."""
+    rnd = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for n in range(40):
+        base = list(rnd.choice(vocabulary, 60 + 5 * n))
+        for edits in ([0, 2, 5, 9] if n else [0] + [1] * 40):
+            w = list(base)
+            for at in rnd.integers(0, len(w), edits):
+                w[at] = "edited" + str(rnd.integers(1000))
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000 + i, t) for i, t in enumerate(["", " ", "one two", "One  two", "one two three", None])]
+    want, pairs = similar_survivors(rows)
+    assert pairs > 100
+    df = docs_of(rows)
+    left = S.drop_similar(spark, df)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == want
+    staged = S.common.stage(spark, df.select(S.F.col("doc_id").cast("long").alias("uid"), "text"), "docs")
+    gone = {r["node"] for r in S.similar_components(spark, staged, node_size=node_size).collect()}
+    assert sorted({i for i, _ in rows} - gone) == want
+    assert S.drop_similar(spark, df.limit(0)).isEmpty()
+
+
+def test_pipeline_stage_drops_similar_texts(spark):
+    """The stage keeps what brute force over 5-word sets keeps."""
+    import corpus_pipeline
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1000)
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    want, _ = similar_survivors(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == want
