@@ -3,7 +3,8 @@
 Writers hide words by look-alike characters (1d10t), spacing (i d i o t, i.d.i.o.t) and repetition
 (idiooot). A token that shows such signs becomes a lattice: each character may stand for itself or for
 the letters it resembles, separators and repeats may be noise, each at a channel cost. Viterbi decoding
-under a character trigram model, counted over the whole corpus, finds the likeliest letters. Other
+under a character trigram model, counted over the whole corpus, finds the likeliest letters. A run of
+single characters is one lattice, in which a word may end at each gap (cheaper at wider gaps). Other
 tokens decode to themselves. The memo of decoded words is bounded and changes no result.
 
 The classifier reads restored words only. Its cues are words and word beginnings that labelled toxic
@@ -42,6 +43,8 @@ LOOKS_LIKE = {
 }
 #: Channel costs in nats: a look-alike, a dropped repeat, a dropped separator, a dropped mark that could be a letter, a kept third repeat.
 SWAP, REPEAT, SEPARATOR, DROP_MARK, KEEP_RUN = 1.0, 0.5, 1.0, 5.0, 4.0
+#: In a spaced run: a word that ends at a gap of one character or of more, one that goes on over a gap of more.
+BREAK, WIDE_BREAK, WIDE_JOIN = 1.0, 0.0, 4.0
 THRESHOLD, LEAST_WEIGHT, CLEAN_COST = 0.7, 0.6, 1
 MAX_TOKEN = 48
 
@@ -50,6 +53,8 @@ _EDGE = ".,;:!?$%&*#|()-\"'[]{}<>_`~/\\=+«»„“”‘’…"
 _ODD = re.compile(r"([^\W\d_])\1\1|[0-9@$!|+(<*#€£][^\W\d_]|[^\W\d_][0-9@$!|+(<*#€£]+[^\W\d_]|[^\W\d_][0135478]$|(?:^|[\W_])[^\W_][\W_][^\W_][\W_][^\W_]")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?![^\s.,;:!?])")
 
+_GAP = re.compile(r"[ \t]+")
+
 
 class Decoder:
     """Restores words. log_p: char_model.log_probabilities."""
@@ -61,8 +66,13 @@ class Decoder:
     def _c(self, ch: str) -> int:
         return int(self.code[ord(ch)]) if ord(ch) < 1 << 16 else 0
 
-    def viterbi(self, token: str) -> str:
-        """The likeliest letters of one token. States are the last two letters; 0 stands before the word."""
+    def viterbi(self, token: str, gaps: list[int] | None = None) -> str:
+        """The likeliest letters of one token. States are the last two letters; 0 stands before the word.
+
+        gaps: the white space before each character of a spaced run, whose words come back parted by spaces.
+        """
+        if gaps is not None:
+            return self._spaced(token, gaps)
         p, token = self.p, token[:MAX_TOKEN] + token[MAX_TOKEN:].translate({ord(c): None for c in LOOKS_LIKE})
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i, ch in enumerate(token):
@@ -89,6 +99,43 @@ class Decoder:
         ends = [(score + float(p[a, b, 0]), out) for (a, b), (score, out) in states.items()]
         return max(ends)[1]
 
+    def _spaced(self, token: str, gaps: list[int]) -> str:
+        """The likeliest words of a run; no state is dropped. Readings are linked letters, so that long runs cost no copies."""
+        p, states = self.p, {(0, 0): (0.0, None)}
+        for i, ch in enumerate(token):
+            own = self._c(ch)
+            moves = [(0.0, ch, own)] * bool(own) + [(SWAP, x, self._c(x)) for x in LOOKS_LIKE.get(ch, "")]
+            skip = not own and (ch not in LOOKS_LIKE or not ch.isalnum())
+            third = i >= 2 and token[i - 1] == ch and token[i - 2] == ch
+            if i:
+                wide = gaps[i] > 1
+                ended = [(v[0] + float(p[a, b, 0]) - (WIDE_BREAK if wide else BREAK), (v[1], " ")) for (a, b), v in states.items() if b]
+                states = {k: (v[0] - WIDE_JOIN * wide * bool(k[1]), v[1]) for k, v in states.items()}
+                if ended:
+                    best = max(ended, key=lambda v: v[0])
+                    if (0, 0) not in states or states[0, 0][0] < best[0]:
+                        states[0, 0] = best
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+
+            def put(key: tuple[int, int], score: float, out: tuple | None) -> None:
+                if key not in new or new[key][0] < score:
+                    new[key] = (score, out)
+
+            for (a, b), (score, out) in states.items():
+                if skip:
+                    put((a, b), score - (DROP_MARK if ch in LOOKS_LIKE else SEPARATOR), out)
+                for cost, x, c in moves:
+                    if b and c == b and out[1] == x:
+                        put((a, b), score - REPEAT * (cost == 0 and not third), out)
+                    put((b, c), score - cost - KEEP_RUN * (third and cost == 0) + float(p[a, b, c]), (out, x))
+            states = new or states
+        _, out = max(((v[0] + float(p[a, b, 0]) * bool(b), v[1]) for (a, b), v in states.items()), key=lambda v: v[0])
+        letters = []
+        while out:
+            out, x = out
+            letters.append(x)
+        return "".join(reversed(letters)).strip()
+
     def word(self, raw: str) -> str:
         """One white-space token, lower case, restored; '' if no letters are left."""
         core = raw.strip(_EDGE)
@@ -111,7 +158,7 @@ class Decoder:
         for m in _SPACED.finditer((text or "").lower()) if list(map(len, tokens)).count(1) >= 3 else ():
             joined = "".join(m.group().split())
             if sum(c.isalpha() or c in LOOKS_LIKE for c in joined) >= 3:
-                out.append(self.viterbi(joined) if not joined.isalpha() or _ODD.search(joined) else joined)
+                out += self.viterbi(joined, [0, *map(len, _GAP.findall(m.group()))]).split()
         return out
 
 

@@ -41,6 +41,25 @@ def test_deobfuscation(decoder, text, word):
     assert word in decoder.words(text)
 
 
+@pytest.fixture(scope="module")
+def sentence_decoder():
+    rnd = random.Random(1)
+    words = "the of and idiot moron such a i you people garden river clown there where nothing small are".split()
+    text = " ".join(rnd.choice(words) for _ in range(40_000))
+    units = char_model.codes()[np.frombuffer(f" {text} ".encode("utf-16-le"), "<u2")].astype(np.int32)
+    counts = np.bincount((units[:-2] * 64 + units[1:-1]) * 64 + units[2:], minlength=64**3).reshape(64, 64, 64)
+    return toxicity.Decoder(char_model.log_probabilities(counts))
+
+
+@pytest.mark.parametrize(("text", "words"), [
+    ("a i d i o t", ["a", "idiot"]), ("s u c h a m o r o n", ["such", "a", "moron"]), ("i d i o t c l o w n", ["idiot", "clown"]),
+    ("y o u   1 d 1 0 t", ["you", "idiot"]), ("s m a l l   c l o w n", ["small", "clown"]), ("i d i o t", ["idiot"]),
+    (" ".join("idiotclown" * 12), ["idiot", "clown"] * 12),
+])
+def test_spaced_runs_are_cut_into_words(sentence_decoder, text, words):
+    assert sentence_decoder.words(text)[len(text.split()) :] == words
+
+
 def test_clean_words_stay(decoder):
     assert decoder.words("The river, and (where) small book 2024 x") == ["the", "river", "and", "where", "small", "book", "2024", "x"]
     assert decoder.words(None) == decoder.words("") == [] and decoder.words("4" * 5000 + " a1" * 2000)
