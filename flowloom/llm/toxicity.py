@@ -46,7 +46,6 @@ SWAP, REPEAT, SEPARATOR, DROP_MARK, KEEP_RUN = 1.0, 0.5, 1.0, 5.0, 4.0
 #: In a spaced run: a word that ends at a gap of one character or of more, one that goes on over a gap of more.
 BREAK, WIDE_BREAK, WIDE_JOIN = 1.0, 0.0, 4.0
 THRESHOLD, LEAST_WEIGHT, CLEAN_COST = 0.7, 0.6, 1
-MAX_TOKEN = 48
 
 _EDGE = ".,;:!?$%&*#|()-\"'[]{}<>_`~/\\=+«»„“”‘’…"
 #: a letter run of three, a look-alike before a letter or between two, separators between single letters
@@ -70,44 +69,15 @@ class Decoder:
         """The likeliest letters of one token. States are the last two letters; 0 stands before the word.
 
         gaps: the white space before each character of a spaced run, whose words come back parted by spaces.
+        No state is dropped. Readings are linked letters, so that long tokens cost no copies.
         """
-        if gaps is not None:
-            return self._spaced(token, gaps)
-        p, token = self.p, token[:MAX_TOKEN] + token[MAX_TOKEN:].translate({ord(c): None for c in LOOKS_LIKE})
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for i, ch in enumerate(token):
-            own, moves = self._c(ch), []
-            if own:
-                moves.append((0.0, ch, own))
-            moves += [(SWAP, x, self._c(x)) for x in LOOKS_LIKE.get(ch, "")]
-            run = i >= 2 and token[i - 1] == ch and token[i - 2] == ch
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, out) in states.items():
-                if not own and (ch not in LOOKS_LIKE or not ch.isalnum()):  # a separator, or a mark that may be one
-                    k = (score - (DROP_MARK if ch in LOOKS_LIKE else SEPARATOR), out)
-                    if (a, b) not in new or new[a, b] < k:
-                        new[a, b] = k
-                for cost, x, c in moves:
-                    if c == b and i and out.endswith(x):  # again the letter before: as one
-                        k = (score - REPEAT * (cost == 0 and not run), out)
-                        if (a, b) not in new or new[a, b] < k:
-                            new[a, b] = k
-                    k = (score - cost - KEEP_RUN * (run and cost == 0) + float(p[a, b, c]), out + x)
-                    if (b, c) not in new or new[b, c] < k:
-                        new[b, c] = k
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:24]) if new else states
-        ends = [(score + float(p[a, b, 0]), out) for (a, b), (score, out) in states.items()]
-        return max(ends)[1]
-
-    def _spaced(self, token: str, gaps: list[int]) -> str:
-        """The likeliest words of a run; no state is dropped. Readings are linked letters, so that long runs cost no copies."""
         p, states = self.p, {(0, 0): (0.0, None)}
         for i, ch in enumerate(token):
             own = self._c(ch)
             moves = [(0.0, ch, own)] * bool(own) + [(SWAP, x, self._c(x)) for x in LOOKS_LIKE.get(ch, "")]
             skip = not own and (ch not in LOOKS_LIKE or not ch.isalnum())
             third = i >= 2 and token[i - 1] == ch and token[i - 2] == ch
-            if i:
+            if i and gaps is not None:
                 wide = gaps[i] > 1
                 ended = [(v[0] + float(p[a, b, 0]) - (WIDE_BREAK if wide else BREAK), (v[1], " ")) for (a, b), v in states.items() if b]
                 states = {k: (v[0] - WIDE_JOIN * wide * bool(k[1]), v[1]) for k, v in states.items()}
@@ -129,7 +99,7 @@ class Decoder:
                         put((a, b), score - REPEAT * (cost == 0 and not third), out)
                     put((b, c), score - cost - KEEP_RUN * (third and cost == 0) + float(p[a, b, c]), (out, x))
             states = new or states
-        _, out = max(((v[0] + float(p[a, b, 0]) * bool(b), v[1]) for (a, b), v in states.items()), key=lambda v: v[0])
+        _, out = max(((v[0] + float(p[a, b, 0]) * bool(b or gaps is None), v[1]) for (a, b), v in states.items()), key=lambda v: v[0])
         letters = []
         while out:
             out, x = out

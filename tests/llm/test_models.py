@@ -88,6 +88,31 @@ def test_viterbi_against_enumeration(decoder):
         assert decoder.viterbi(token) == best(token)
 
 
+def test_viterbi_reads_long_and_ambiguous_tokens_whole(decoder):
+    """Look-alikes after character 48 are decoded, and no reading of several marks is dropped."""
+    assert decoder.viterbi("garden" * 12 + "1d10t").endswith("idiot")
+    p = decoder.p
+    for token in ("***1*!*", "*1!*|*1"):
+        readings = [(0.0, 0, 0, "")]
+        for ch in token:
+            grown = []
+            for score, a, b, out in readings:
+                if not ch.isalnum():
+                    grown.append((score - (toxicity.DROP_MARK if ch in toxicity.LOOKS_LIKE else toxicity.SEPARATOR), a, b, out))
+                for x in toxicity.LOOKS_LIKE[ch]:
+                    c = decoder._c(x)
+                    if out.endswith(x):
+                        grown.append((score, a, b, out))
+                    grown.append((score - toxicity.SWAP + float(p[a, b, c]), b, c, out + x))
+            best = {}
+            for r in grown:
+                if (r[1:] not in best) or best[r[1:]][0] < r[0]:
+                    best[r[1:]] = r
+            readings = list(best.values())
+        want = max((score + float(p[a, b, 0]), out) for score, a, b, out in readings)
+        assert decoder.viterbi(token) == want[1]
+
+
 def test_char_model_counts_all_texts(spark, docs_of):
     a = char_model.trigram_counts(docs_of(["ab", None, "", "AB ab"]))
     one, two = 1, 2
