@@ -70,8 +70,21 @@ def test_quality_counts_against_brute_force(spark, docs_of):
         assert r["base_failed"] == (n < 50 or 100 * rest[-1] > 50 * n) and not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize("bits", [0, 1 << 40])
+def test_repeats_are_exact_where_hash_bits_collide(spark, docs_of, bits):
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 40))) for _ in range(60)] + ["a b c x y z a b c", None]
+    weak = lambda *words: F.pmod(F.xxhash64(*words), F.lit(3)) * F.lit(bits)
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.counts(docs_of(texts), weak).select("doc_id", "n_repeat_words").collect()}
+    # the quick filter by distinct hashes always lets texts with equal windows through
+    assert all(got[i] == brute_counts(t)[-1] for i, t in enumerate(texts))
+
+
 def prose(i, n=80):
-    return " ".join(f"word{(i * 31 + k * 7) % 997}{'.' if k % 9 == 8 else ''}" for k in range(n)) + "."
+    word = lambda x: f"{x:05d}".translate(str.maketrans("0123456789", "aeioutnsrl"))
+    return " ".join(f"{word((i * 31 + k * 7) % 997)}{'.' if k % 9 == 8 else ''}" for k in range(n)) + "."
 
 
 def test_weak_supervision_separates(spark, docs_of):
@@ -84,13 +97,33 @@ def test_weak_supervision_separates(spark, docs_of):
     assert quality_rules.judge(spark, docs_of(good).limit(0)).isEmpty()
 
 
-def test_posterior_learns_accuracies():
-    code = lambda v: sum((x + 1) * 3 ** (2 - i) for i, x in enumerate(v))
-    # the third rule votes bad where the other two vote good: it is the one that errs
-    tally = {code((1, 1, 0)): 500, (code((1, 1, -1))): 60, code((-1, -1, 0)): 80, code((0, 0, 0)): 5, code((-1, -1, -1)): 5}
-    post = quality_rules.posterior(tally, 3)
-    assert post[code((1, 1, -1))] > 0.5 > post[code((-1, -1, 0))] and post[code((0, 0, 0))] == 0.5
-    assert quality_rules.posterior({}, 3) == {}
+def code(votes):
+    return sum((x + 1) * 3 ** (len(votes) - 1 - i) for i, x in enumerate(votes))
+
+
+def test_rates_are_learnt_and_reverse_votes():
+    # the fourth rule votes bad on many documents that three others find good: it is outvoted, also where one of them abstains
+    tally = {code((1, 1, 1, 1)): 500, code((1, 1, 1, -1)): 300, code((1, 1, 0, -1)): 40, code((-1, -1, -1, -1)): 60, code((-1, -1, 0, 1)): 60, code((0, 0, 0, 0)): 5}
+    fit = quality_rules.fit(tally, 4)
+    post = fit.posterior
+    first = quality_rules.fit({code((1, 1, 0, -1)): 1}, 4).posterior[code((1, 1, 0, -1))]
+    assert first < 0.5 < post[code((1, 1, 0, -1))] and post[code((1, 1, 1, -1))] > 0.9 and post[code((-1, -1, 0, 1))] < 0.1
+    assert fit.rates[3][1][0] > 0.3 and fit.rates[0][1][0] < 0.02 and fit.rates[0][0][0] > 0.8  # rates left START
+    assert 0.8 < fit.balance < 0.95 and quality_rules.fit({}, 4).posterior == {}
+    again = quality_rules.fit({p: 1000 * c for p, c in tally.items()}, 4).posterior
+    assert all((post[p] >= 0.5) == (again[p] >= 0.5) for p in tally if p != code((0, 0, 0, 0)))
+
+
+def test_posterior_is_not_all_must_pass_and_finds_held_out_quality(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    votes = quality_rules.counts(docs.select("doc_id", "text")).withColumn("clean", F.least(*quality_rules.votes()) >= 0).select("doc_id", "clean")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = quality_rules.judge(spark, docs).join(votes, "doc_id").join(labels, "doc_id", "left").filter("NOT base_failed").collect()
+    assert any(r["kept"] and not r["clean"] for r in got)
+    right = [(r["kept"], r["clean"], r["quality"]) for r in got if r["quality"] is not None]
+    by_posterior, by_all = (sum(x[k] == (x[2] == 1) for x in right) for k in (0, 1))
+    assert by_posterior >= by_all and by_posterior > 0.995 * len(right)
 
 
 def test_native_plans_run_no_python(spark, docs_of):
