@@ -5,12 +5,15 @@ Writers hide words by look-alike characters (1d10t), spacing (i d i o t, i.d.i.o
 the letters it resembles, separators and repeats may be noise, each at a channel cost. Viterbi decoding
 under a character trigram model, counted over the whole corpus, finds the likeliest letters. A run of
 single characters is one lattice, in which a word may end at each gap (cheaper at wider gaps). Other
-tokens decode to themselves. The memo of decoded words is bounded and changes no result.
+tokens decode to themselves. Tokens of any length are decoded exactly: the states are the last two letters, and
+none is dropped. Of equally likely readings the first found stays. The memo of decoded words is bounded and
+changes no result.
 
 The classifier reads restored words only. Its cues are words and word beginnings that labelled toxic
 documents use far more than others, counted by document over a sample of labelled rows (about
-``max_labelled`` at most, those of least id hash, each text once). The sample has two halves: a cue that
-stands out in one half gets its weight, the share of toxic documents among those that use it, from the
+``max_labelled`` at most, those of least id hash, each text once; nothing else bounds the cues). The sample
+has two halves: a cue that stands out in one half (two toxic documents or more use it, and of those that use it
+nine in ten are toxic, were both kinds as many) gets its weight, the share of toxic documents among those that use it, from the
 other, less one standard error, so chance finds weigh little and those under ``LEAST_WEIGHT`` nothing.
 The evidence of a document is the sum of the log-odds of its three strongest cue words; the level that
 parts the labelled sample with the fewest errors (a clean document counts CLEAN_COST times) scores 0.7,
@@ -63,7 +66,9 @@ class Decoder:
         self.memo: dict[str, str] = {}
 
     def _c(self, ch: str) -> int:
-        return int(self.code[ord(ch)]) if ord(ch) < 1 << 16 else 0
+        if ord(ch) < 1 << 16:
+            return int(self.code[ord(ch)])
+        return char_model.OTHER if ch.isalpha() else 0
 
     def viterbi(self, token: str, gaps: list[int] | None = None) -> str:
         """The likeliest letters of one token. States are the last two letters; 0 stands before the word.
@@ -198,7 +203,7 @@ class Model:
         return 1 / (1 + math.exp(self.level - evidence) * (1 - THRESHOLD) / THRESHOLD)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_cues: int = 20_000) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model:
     """labels(doc_id, toxic), learning folds only. The character model covers all docs."""
     log_p = char_model.log_probabilities(char_model.trigram_counts(docs))
     y = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
@@ -220,7 +225,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
         g, b = size.get((half, 0), 0), size.get((half, 1), 0)
         if not g or not b:
             return F.lit(False)
-        return (bad >= max(2, round(0.005 * b))) & (bad / b >= 0.9 * (bad / b + (good + 1) / g)) & (bad >= good)
+        return (bad >= 2) & (bad / b >= 0.9 * (bad / b + (good + 1) / g)) & (bad >= good)
 
     def weight(good: Column, bad: Column) -> Column:
         p, n = (bad + 0.5) / (good + bad + 1), good + bad + 1
@@ -231,7 +236,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: i
         F.when(a & b, weight(F.col("c0") + F.col("c2"), F.col("c1") + F.col("c3")))
         .when(a, weight(F.col("c2"), F.col("c3"))).when(b, weight(F.col("c0"), F.col("c1")))
     )
-    found = counts.select("feature", w.alias("w"), (F.col("c1") + F.col("c3")).alias("bad")).filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("bad"), "feature").limit(max_cues).collect()
+    # as many rows as the words of the sample's toxic documents at most
+    found = counts.select("feature", w.alias("w")).filter(F.col("w") >= LEAST_WEIGHT).collect()
     model = Model(log_p, {r["feature"]: math.log(r["w"] / (1 - r["w"])) for r in found}, 1.0)
     judged = _evidence(
         sample.select("text", "toxic"), model, "toxic int, evidence double",
