@@ -137,18 +137,40 @@ URLS = [
 ]
 
 
+def same_as_sql(sf, got):
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf.removeprefix('file://')}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_reputation.SQL['op8_url_reputation']})").fetchall()
+    return sorted(want) == sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got)
+
+
 def test_url_rules_and_reputation(spark, tables):
     pages = spark.createDataFrame([(i, u, "html") for i, u in URLS], "page_id long, url string, html string")
-    labels = spark.createDataFrame([(i, 0 if i in (12, 13) else 1, 0) for i, _ in URLS if i != 5], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 0 if i in (1, 2) else 1, 0) for i, _ in URLS if i != 5], "doc_id long, quality int, toxic int")
     sf = tables(pages=pages, labels=labels)
     got = {r["page_id"]: r for r in url_reputation.op8_url_reputation(spark, sf).collect()}
     assert [got[i]["rule"] for i in range(1, 15)] == ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None, "com/fr/", "org/", None, None, None]
     assert (got[1]["host"], got[1]["path"], got[9]["host"], got[6]["host"], got[7]["path"]) == ("blog.x.example.org", "/es/1", "y:", "", "")
-    con = duckdb.connect()
-    for t in ("pages", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf.removeprefix('file://')}/{t}.parquet/*.parquet'")
-    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_reputation.SQL['op8_url_reputation']})").fetchall()
-    assert sorted(want) == sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got.values())
+    assert same_as_sql(sf, got.values())
+
+
+def test_hosts_with_bad_pages_are_blocked(spark, tables):
+    """Pages repeat, columns clash, hosts have ports, users and long suffixes, urls are long; the outcome is that of the page the path names."""
+    urls = [(f"https://{h}/en/{k}{x}", k) for k in range(60) for h, x in (("good.net", ""), ("u:p@Good.net:8080", ".html?a"), ("bad.net:80", "/"), ("a.b.co.uk", "#" + "x" * 50_000), ("10.0.0.1:99", "")) if (k >= 30) == ("bad" in h)]
+    rows = [(i, u, "h", "p", 1, 2, None, True) for i, (u, _) in enumerate(urls + urls[:7])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, n int, k int, key long, good boolean")
+    labels = spark.createDataFrame([(k, int(k < 30), 0) for k in range(60)] + [(31, 1, 0), (None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    sf = tables(pages=pages, labels=labels)
+    got = url_reputation.op8_url_reputation(spark, sf).collect()
+    assert len(got) == len(rows) and {r["verdict"] for r in got if r["host"] == "bad.net:80"} == {"block"}
+    assert all(r["verdict"] == "allow" for r in got if r["host"] != "bad.net:80") and same_as_sql(sf, got)
+
+
+def test_levels(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "m.x.com": ("x.com", "com"), "x.com:8080": ("x.com", "com"), "u:p@q.x.org:1": ("x.org", "org"), "10.0.0.1:99": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *url_reputation.levels(F.col("host")))
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == hosts
 
 
 def test_reputation_shrinks_to_parents(spark):
@@ -156,7 +178,7 @@ def test_reputation_shrinks_to_parents(spark):
     got = {r["host"]: (r["rate"], r["bound"]) for r in url_reputation.host_reputation(spark, hosts).collect()}
     assert got["a.x.com"][0] > 0.9 and got["d.y.com"][0] < 0.15 and 0.1 < got["b.x.com"][0] < got["c.x.com"][0] and got["e.y.com"][0] < 1
     assert all(b < m for m, b in got.values())
-    empty = url_reputation.judge(spark, spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int"))
+    empty = url_reputation.judge(spark, spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "key long, good int"))
     assert empty.isEmpty()
-    none = url_reputation.judge(spark, spark.createDataFrame([(1, "http://q.net/")], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int"))
+    none = url_reputation.judge(spark, spark.createDataFrame([(1, "http://q.net/")], "page_id long, url string"), spark.createDataFrame([], "key long, good int"))
     assert none.first()["verdict"] in ("allow", "block")
