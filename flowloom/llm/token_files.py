@@ -4,16 +4,21 @@ One frequency table, counted over all ids of the corpus and scaled to 2^20, is s
 block holds whole documents in ascending doc_id order and is coded by itself: its ids are dealt over
 interleaved lanes, each a 64-bit rANS state that gives off 32-bit words; every ``CHECK`` steps a
 checkpoint keeps the word position and all states, so that decoding can start there; a crc32 guards
-the coded bytes and the decoded ids. Blocks are rows of a Parquet container, so Spark's commit protocol covers
-lost executors and any store that Spark can write.
+the coded bytes and the decoded ids.
+
+A file is a folder that can be read by itself: ``blocks`` (part, block, start in the part, n_docs, n_ids,
+data), ``parts`` (part, ids before it) and ``table`` (id, freq), all Parquet containers, so Spark's commit
+protocol covers lost executors and any store that Spark can write. A part is a range of doc_ids; rows that
+repeat an id, null ones too, are split over parts by their row number.
 
 Block layout (little endian): magic "FRB1", u32 documents, u64 ids, u32 lanes, u32 checkpoints, u32 words,
 u32 crc32 of all that follows and of the ids, u32 crc32 of the frequency table; i64 doc_id and u8 null flag per document; u32
 length per document; u64 states; per checkpoint u32 word position and u64 states; u32 words.
 
-Defined cases: a null text is the empty text; an empty text is its end id only; a null doc_id comes
-before all others; rows that repeat a doc_id follow each other in the order of their ids' crc32;
-an empty table gives an empty file and result; columns other than doc_id and text are ignored.
+Defined cases: a null text is the empty text; an empty text is its end id only; a document longer than a block
+is a block of its own, whatever its length; a null doc_id comes before all others; rows that repeat a doc_id
+follow each other in the order in which they were read; an empty table gives an empty file and result;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,23 +29,32 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import runs, shared_encoder
+from .tokens import per_process, runs, shared_encoder
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-BITS, LANES, CHECK, BLOCK = 20, 1024, 128, 1 << 18
+BITS, LANES, CHECK, BLOCK = 20, 4096, 128, 1 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = "<4sIQIIIII"
 _BITS, _WORD = np.uint64(BITS), np.uint64(32)
 
 
 class Table:
-    """Frequencies scaled to 2^BITS: every symbol that occurs has one slot at least."""
+    """Frequencies scaled to 2^BITS, which every symbol can be looked up by."""
+
+    def __init__(self, freq: np.ndarray) -> None:
+        freq = freq.astype(np.int64)
+        self.freq, self.cum = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        self.crc = crc32(freq.astype("<u4").tobytes())
+        self.symbols = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
-    def __init__(self, counts: np.ndarray) -> None:
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> Table:
+        """Every symbol that occurs has one slot at least."""
         total, size = int(counts.sum()), 1 << BITS
         seen = np.flatnonzero(counts)
         if len(seen) > size // 2:
@@ -58,9 +72,7 @@ class Table:
                 freq[s] += step
                 over += step
                 k += 1
-        self.freq, self.cum = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-        self.crc = crc32(freq.astype("<u4").tobytes())
-        self.symbols = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        return cls(freq)
 
 
 def encode_ids(ids: np.ndarray, t: Table, lanes: int = LANES) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
@@ -143,33 +155,34 @@ def read_block(raw: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np.n
     return [None if z else x for x, z in zip(names, nulls.tolist())], lengths, ids
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int, cuts: list[int]) -> DataFrame:
-    """-> (part, doc_id, n_tokens, crc, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit.
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """-> (uid, doc_id, n_tokens, ids): ids as little-endian 16-bit numbers if the vocabulary allows, else 32-bit; uid is the row's number.
 
-    part: how many of the ascending cuts lie below the doc_id; 0 for a null one. Each task ends with a row
-    of part -1, whose ids are its counts of the ids from 0 on, as 64-bit numbers: texts and ids are read once.
+    Each task ends with a row without uid, whose ids are its counts of the ids from 0 on, as 64-bit numbers: texts
+    and ids are read once.
     """
+    names = ["uid", "doc_id", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(common.vocabulary(vocabulary)), np.array([end_id], "<u4").tobytes()
-        bounds, seen = np.array(cuts, np.int64), np.zeros(0, np.int64)
+        seen, row = np.zeros(0, np.int64), TaskContext.get().partitionId() << 33
         kind = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             for x, y, texts in runs(b.column("text")):
-                raws = [raw + end for raw in encoder.encode(texts)]
-                c = np.bincount(np.frombuffer(b"".join(raws), "<u4"))
+                raws = encoder.encode(texts)
+                n = np.fromiter(map(len, raws), np.int64, y - x) // 4 + 1
+                ids = np.frombuffer(end.join([*raws, b""]), "<u4")
+                c = np.bincount(ids)
                 seen = np.pad(seen, (0, max(0, len(c) - len(seen))))
                 seen[: len(c)] += c
-                names = b.column("doc_id").slice(x, y - x).cast(pa.int64())
-                part = np.searchsorted(bounds, names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.astype(np.int32)), names, pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([crc32(r) for r in raws], pa.int64()), pa.array([np.frombuffer(r, "<u4").astype(kind).tobytes() for r in raws], pa.binary())],
-                    names=["part", "doc_id", "n_tokens", "crc", "ids"],
-                )
-        last = (pa.array([-1], pa.int32()), *(pa.array([None], pa.int64()),) * 3, pa.array([seen.tobytes()], pa.binary()))
-        yield pa.RecordBatch.from_arrays(list(last), names=["part", "doc_id", "n_tokens", "crc", "ids"])
+                data = ids.astype(kind)
+                ends = np.concatenate(([0], np.cumsum(n))) * data.itemsize
+                held = pa.Array.from_buffers(pa.large_binary(), y - x, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + y - x)), b.column("doc_id").slice(x, y - x).cast(pa.int64()), pa.array(n), held], names=names)
+                row += y - x
+        yield pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()),) * 3, pa.array([seen.tobytes()], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n_tokens long, crc long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_tokens long, ids binary")
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
@@ -186,31 +199,26 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
                 seen = np.flatnonzero(held)
                 yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["id", "c"])
 
-    rows = tokens.filter("part = -1").select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
+    rows = tokens.filter("uid IS NULL").select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
     return out
 
 
-def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> np.ndarray:
-    """Writes the ids of docs to path, in ascending doc_id order; returns the counts behind the frequency table."""
+def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
+    """Writes the ids of docs to the folder path, in ascending doc_id order."""
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * parts).alias("q")).first()["q"] or []))[: parts - 1]
-    tokens = common.stage(spark, encoded(docs, vocabulary, end_id, cuts), "tokens")
-    counts, tokens = id_counts(tokens), tokens.filter("part >= 0")
-    totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per partition
-    before, at = {}, 0
-    for p in sorted(totals):
-        before[p] = at
-        at += totals[p]
+    tokens = common.stage(spark, encoded(docs, vocabulary, end_id), "tokens")
+    freq = Table.of_counts(id_counts(tokens)).freq.astype(np.int64)
+    seen = np.flatnonzero(freq)
+    spark.createDataFrame(list(zip(seen.tolist(), freq[seen].tolist())), "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Table(counts)
+        t = per_process("tables", crc32(freq), lambda: Table(freq))
         names: list[int | None] = []
         lengths: list[int] = []
         raws: list[bytes] = []
-        held, start, number, part = 0, None, 0, None
+        part, held, start, number = TaskContext.get().partitionId(), 0, 0, 0
 
         def block() -> pa.RecordBatch:
             nonlocal names, lengths, raws, held, start, number
@@ -221,50 +229,59 @@ def write_file(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "block", "start", "n_docs", "n_ids", "data"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "ids")]
-            for p, name, n, raw in zip(*cols):
-                if p != part:  # a task may get several parts
-                    if names:
-                        yield block()
-                    part, start, number = p, before[p], 0
+            for name, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids"))):
+                if held and held + n > BLOCK:
+                    yield block()
                 names.append(name)
                 lengths.append(n)
                 raws.append(raw)
                 held += n
-                if held >= BLOCK:
-                    yield block()
         if names:
             yield block()
 
-    ordered = tokens.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc")
-    ordered.select("part", "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, block int, start long, n_docs long, n_ids long, data binary").write.parquet(path)
-    return counts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("uid")]
+    ordered = tokens.filter("uid IS NOT NULL").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "part int, block int, start long, n_docs long, n_ids long, data binary").write.parquet(f"{path}/blocks")
+    at, rows = 0, []  # a row per part
+    for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        rows.append((r["part"], at))
+        at += r["n"]
+    spark.createDataFrame(rows, "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
+
 
+def read_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids_crc32, and the ids on request. Blocks are decoded in parallel.
 
-def read_file(spark: SparkSession, path: str, counts: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens, ids_crc32, and the ids on request. Blocks are decoded in parallel."""
+    The driver reads the table (as many rows as different ids) and the parts.
+    """
+    table = spark.read.parquet(f"{path}/table").toPandas()
+    freq = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, np.int64)
+    freq[table["id"].to_numpy(np.int64)] = table["freq"].to_numpy(np.int64)
+    before = {r["part"]: r["before"] for r in spark.read.parquet(f"{path}/parts").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Table(counts)
+        t = per_process("tables", crc32(freq), lambda: Table(freq))
         for b in batches:
-            for start, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i in range(b.num_rows):
+                part, start, raw = (b.column(k)[i].as_py() for k in range(3))
                 names, lengths, ids = read_block(raw, t)
                 stops = np.cumsum(lengths.astype(np.int64))
                 starts = stops - lengths
                 view = memoryview(ids.tobytes())
                 crc = [crc32(view[4 * x : 4 * y]) for x, y in zip(starts.tolist(), stops.tolist())]
-                cols = [pa.array(names, pa.int64()), pa.array(starts + start), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())]
+                cols = [pa.array(names, pa.int64()), pa.array(starts + (start + before[part])), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.array([ids[x:y] for x, y in zip(starts, stops)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    blocks = spark.read.schema("start long, data binary").parquet(path)
+    blocks = spark.read.schema("part int, start long, data binary").parquet(f"{path}/blocks")
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.staged_path(spark, "token-file")
-    return read_file(spark, path, write_file(spark, common.table(spark, sf_dir, "documents"), path))
+    write_file(spark, common.table(spark, sf_dir, "documents"), path)
+    return read_file(spark, path)
 
 
 SQL: dict[str, str] = {}

@@ -6,7 +6,9 @@ import json
 import re
 import sys
 import types
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,31 @@ _PIECE = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE
 _OTHER = re.compile(f"[^{_SIMPLE}]")
 
 
+def _simple(text: str) -> bool:
+    """Whether the text has characters of _SIMPLE only."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _OTHER.search(text)
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones are their own, others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, rest = [""] * 256, 256
+    for b in range(256):
+        out[b] = chr(b) if b in own else chr(rest)
+        rest += b not in own
+    return out
+
+
+#: How many things of a kind a process holds on to.
+LATEST = 2
+
+
 class Encoder:
     """Encodes texts with a vocabulary file of the tokenizers library, without special tokens.
 
@@ -37,66 +64,64 @@ class Encoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        cuts = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        cuts, bytes_ = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_pieces = (
             (cuts.get("pattern") or {}).get("Regex") == WORD_PATTERN and cuts.get("behavior") == "Removed" and bool(cuts.get("invert"))
-            and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
+            and kinds == ["NFC", "Replace", "Lowercase"] and bytes_.get("type") == "ByteLevel" and not bytes_.get("add_prefix_space") and not bytes_.get("use_regex")
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.memo: dict[str, bytes] = {}  # piece -> its ids
         self.old: dict[str, bytes] = {}
-        if self.by_pieces:
-            vocab = spec["model"]["vocab"]
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.letters = dict(enumerate(_byte_letters()))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 1024):
-            part = pieces[at : at + 1024]
-            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1  # each piece has one word end
-            if len(stops) != len(part):
-                self.memo.update(zip(part, self._whole(part)))
-                continue
-            raw, stops = ids.tobytes(), (stops * 4).tolist()
-            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Pieces are lower case and in NFC already, so the model alone gives their ids, from their bytes."""
+        tokenize, letters, memo = self.tokenizer.model.tokenize, self.letters, self.memo
+        for w in pieces:
+            memo[w] = array("I", [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; a null text is empty."""
         texts = [t or "" for t in texts]
         if not self.by_pieces:
             return self._whole(texts)
-        plain = [not _OTHER.search(t) and not any(x in t for x in self.added) for t in texts]
+        plain = [_simple(t) and not any(x in t for x in self.added) for t in texts]
         cut = [_PIECE.findall(t.lower()) for t, p in zip(texts, plain) if p]
-        new = set().union(*cut).difference(self.memo)
+        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(cut)))
         if len(self.memo) + len(new) > self.limit:
             self.old, self.memo = self.memo, {}
-            new = set().union(*cut)
+            new = set(chain.from_iterable(cut))
         if self.old:
             again = new & self.old.keys()
             self.memo.update((w, self.old[w]) for w in again)
             new -= again
-        self._learn(list(new))
+        self._learn(new)
         get = self.memo.__getitem__
         done = iter([b"".join(map(get, w)) for w in cut])
         rest = iter(self._whole([t for t, p in zip(texts, plain) if not p]) if not all(plain) else ())
         return [next(done) if p else next(rest) for p in plain]
 
 
-def shared_encoder(path: str) -> Encoder:
-    """One encoder per process and vocabulary: its memo serves all tasks that the process runs.
+def per_process(kind: str, key, make: Callable):
+    """What make() gives, made once per process for each key; only the last LATEST keys of a kind are held.
 
     Functions reach executors by value, so globals of this module don't outlive a task; a module of the process does.
     """
-    holder = sys.modules.setdefault("_flowloom_process", types.ModuleType("_flowloom_process")).__dict__.setdefault("encoders", {})
-    if path not in holder:
-        holder[path] = Encoder(path)
-    return holder[path]
+    held = sys.modules.setdefault("_flowloom_process", types.ModuleType("_flowloom_process")).__dict__.setdefault(kind, {})
+    if key not in held:
+        while len(held) >= LATEST:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
+def shared_encoder(path: str) -> Encoder:
+    """One encoder per process and vocabulary: its memo serves all tasks that the process runs."""
+    return per_process("encoders", path, lambda: Encoder(path))
 
 
 def runs(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
