@@ -3,20 +3,23 @@
 Each task packs the documents of its partition in blocks, so nothing is shuffled and memory is bounded
 by a block and the longest document. A document's full windows are sequences of their own; the
 remainders of a block are partitioned into windows by differencing: partial partitions are merged so
-that the largest sums of one meet the smallest of the other, until one near-equal partition is left.
-Windows above capacity are cut there, windows below it take the cut tails; the number of windows rises
-while tails are left over. Tails of a block that can't fill a window go on to the next block; the last
-ones of a task are cut into power-of-two sequences, which need no padding.
+that the largest sums of one meet the smallest of the other, until one near-equal partition is left. The
+number of windows starts at a lower bound and rises while a window exceeds the capacity, so differencing
+itself cuts no document. What its windows then lack is made up for by the emptiest ones, whose documents
+fill the others up and alone are cut; a window within ``slack`` tokens of the capacity is left as it is and
+padded. Tokens that can't fill a window go on to the next block; the last ones of a task are cut into
+power-of-two sequences, which need no padding.
 
 Defined cases: a null text is the empty text; an empty text is its end id only; every row is packed,
-repeated ids and rows too; an empty table gives an empty result; columns other than doc_id and text
-are ignored. Sequence ids are unique, not gapless: partition number * 2^32 + number in the partition.
+repeated ids and rows too; a document longer than a block is a block of its own; of equal sizes the earlier
+one is merged first; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Sequence ids are unique, not gapless: partition number * 2^32 + number in the partition.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import insort
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .tokens import runs, shared_encoder
 
-WINDOW = 2048
+WINDOW, SLACK, BLOCK = 2048, 16, 1 << 17
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -76,58 +79,65 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     return [flat(items) for _, items in heap[0][2]] if heap else []
 
 
-def fill(pieces: list[tuple[int, int, int]], capacity: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+def windows(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Groups of items whose sums are within the capacity (no item is above it).
+
+    The number of groups starts at a lower bound (all tokens by the capacity; items over half of it can't meet)
+    and rises by the excess, one at least, until differencing leaves no group above the capacity.
+    """
+    ways = max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+    while ways:
+        groups = differencing(sizes, ways)
+        excess = sum(max(0, sum(sizes[i] for i in g) - capacity) for g in groups)
+        if not excess:
+            return groups
+        ways += -(-excess // capacity)
+    return []
+
+
+def fill(pieces: list[tuple[int, int, int]], capacity: int, last: bool, slack: int = SLACK) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """pieces (document, start, length < capacity) -> (sequences, pieces left for the next block).
 
-    All sequences are full, except that the last block's leftover is cut into powers of two.
+    The sequences lack slack tokens at most; the last block's leftover is cut into powers of two.
     """
-    total = sum(p[2] for p in pieces)
-    ways = total // capacity
+    held = [[pieces[i] for i in g] for g in windows([p[2] for p in pieces], capacity)]
+    held.sort(key=lambda w: -sum(p[2] for p in w))
     full: list[list[tuple[int, int, int]]] = []
-    tails: list[tuple[int, int, int]] = list(pieces) if not ways else []
-    short: list[tuple[list, int]] = []
-    for group in differencing([p[2] for p in pieces], ways) if ways else []:
-        room, held = capacity, []
-        for i in sorted(group, key=lambda i: -pieces[i][2]):
-            d, s, n = pieces[i]
-            take = min(n, room)
-            if take:
-                held.append((d, s, take))
-                room -= take
-            if take < n:
-                tails.append((d, s + take, n - take))
-        if room:
-            short.append((held, room))
+    pool: list[tuple[int, int, int]] = []  # pieces of the emptiest windows, by length
+
+    def draw(room: int, window: list) -> int:
+        """Fills the window from the pool: the longest piece that fits, else a part of the longest; what room is left."""
+        while room and pool:
+            k = bisect_right(pool, room, key=lambda p: p[2])
+            d, s, n = pool.pop(k - 1 if k else -1)
+            window.append((d, s, min(n, room)))
+            if n > room:
+                insort(pool, (d, s + room, n - room), key=lambda p: p[2])
+            room -= min(n, room)
+        return room
+
+    at = 0
+    while at < len(held):
+        window, at = held[at], at + 1
+        room = capacity - sum(p[2] for p in window)
+        while room > slack and (pool or at < len(held)):
+            if not pool:
+                pool = sorted(held.pop(), key=lambda p: p[2])
+            room = draw(room, window)
+        if room > slack:
+            pool = sorted(window, key=lambda p: p[2])
         else:
-            full.append(held)
-    tails.sort(key=lambda p: p[2])
-
-    def draw(room: int, held: list) -> bool:
-        while room and tails:
-            d, s, n = tails.pop()
-            take = min(n, room)
-            held.append((d, s, take))
-            room -= take
-            if take < n:
-                tails.append((d, s + take, n - take))
-        return not room
-
-    for held, room in short:  # ways * capacity tokens or more are there, so all fill up
-        draw(room, held)
-        full.append(held)
-    while sum(p[2] for p in tails) >= capacity:
-        draw(capacity, held := [])
-        full.append(held)
+            full.append(window)
     if last:
-        left = sum(p[2] for p in tails)
+        left = sum(p[2] for p in pool)
         for bit in range(left.bit_length() - 1, -1, -1):
             if left >> bit & 1:
-                draw(1 << bit, held := [])
-                full.append(held)
-    return full, tails
+                draw(1 << bit, window := [])
+                full.append(window)
+    return full, pool
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, block_tokens: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, window: int = WINDOW, block_tokens: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """One row per piece (see SCHEMA); with_ids adds the piece's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
