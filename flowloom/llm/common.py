@@ -15,13 +15,15 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_:
         return set_.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -46,7 +48,15 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = staged_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def forget(spark: SparkSession, *staged: DataFrame) -> None:
+    """Deletes tables that stage() wrote and nothing will read again, before the driver ends."""
+    for df in staged:
+        _delete(spark, df._staged_at)
 
 
 def whole_row(docs: DataFrame) -> Column:

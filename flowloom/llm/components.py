@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = common.stage(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(spark: SparkSession, edges: DataFrame) -> DataFrame:
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = common.stage(spark, down.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -24,13 +24,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (node, root): each node that has an edge, except the roots, with its component's least node.
 
-    Every round is written to the shared folder, which cuts lineage; the minimum of a hub's neighbours is
-    a partial aggregate. Rounds grow with the logarithm of the longest chain.
+    Every step is written to the shared folder, which cuts lineage. The minimum of a hub's neighbours is a
+    partial aggregate, staged before it is joined: both sides of that join are plain shuffles then (or the small
+    one is broadcast), so the adaptive skew join splits a hub's edges over tasks. Rounds grow with the logarithm of
+    the longest chain.
     """
-    edges = common.stage(spark, _small_star(common.stage(spark, edges, "edges")), "star")
+    edges = common.stage(spark, edges, "edges")
+    edges = common.stage(spark, _small_star(spark, edges), "star")
     seen = None
     while True:
-        edges = common.stage(spark, _small_star(_large_star(edges)), "star")
+        large = common.stage(spark, _large_star(spark, edges), "star")
+        common.forget(spark, edges)
+        edges = common.stage(spark, _small_star(spark, large), "star")
+        common.forget(spark, large)
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == (row["n"], row["h"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

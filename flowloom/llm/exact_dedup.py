@@ -4,16 +4,16 @@ Digests (SHA-256 of the white-space-normalised text) are computed in one pass an
 Misra-Gries summary (Spark's ``freqItems``) names at most ``1 / support`` candidates that could hold
 more than ``support`` of all rows; an exact count verifies them, and the verified winners, whose
 number the summary bounds, are broadcast, so that rows of large groups are settled on the map side.
-The remaining digests, each below ``support`` of the rows, go through one ordinary shuffle.
+The remaining digests, each below ``support`` of the rows, go through an ordinary shuffle, summed before it.
 
-Defined cases: a null text is the empty text; a null doc_id sorts after every other id; of rows that
+Defined cases: a null text is the empty text; texts of any length are read whole; a null doc_id sorts after every other id; of rows that
 repeat both id and text, one (the first in the staged order) stays; an empty table gives an empty
 result; extra columns are ignored by ``exact_groups`` and kept by ``drop_exact_copies``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,20 +23,19 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), common.WS, " "), 256)
 
 
-def _settle(digests: DataFrame, support: float) -> DataFrame:
-    """digests(doc_id, uid, text_sha256) -> the same rows with first (the struct that stays) and group_size."""
+def _settle(spark: SparkSession, digests: DataFrame, support: float) -> DataFrame:
+    """digests(doc_id, uid, text_sha256), staged -> the same rows with first (the struct that stays) and group_size."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))
+    sums = (F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
     candidates = digests.stat.freqItems(["text_sha256"], support).select(F.explode(F.col("text_sha256_freqItems")).alias("text_sha256"))
-    winners = (
-        digests.join(F.broadcast(candidates), "text_sha256")
-        .groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first"))
-        .filter("group_size > 1")
-    )
+    winners = digests.join(F.broadcast(candidates), "text_sha256").groupBy("text_sha256").agg(*sums).filter("group_size > 1")
+    winners = common.stage(spark, winners, "winners")
     heavy = digests.join(F.broadcast(winners), "text_sha256")
-    each = Window.partitionBy("text_sha256")
-    light = (
-        digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("group_size", F.count(F.lit(1)).over(each)).withColumn("first", F.min(order).over(each))
+    rest = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # summed before the shuffle, and staged: a group's rows meet its sum in a join of plain shuffles, which can be split
+    groups = common.stage(spark, rest.groupBy("text_sha256").agg(*sums).filter("group_size > 1"), "groups")
+    light = rest.join(groups, "text_sha256", "left").select(
+        *[F.col(c) for c in digests.columns], F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("first", order).alias("first")
     )
     return heavy.unionByName(light)
 
@@ -44,7 +43,7 @@ def _settle(digests: DataFrame, support: float) -> DataFrame:
 def exact_groups(spark: SparkSession, docs: DataFrame, support: float = 1e-3) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = common.stage(spark, docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), text_digest(F.col("text")).alias("text_sha256")), "digests")
-    return _settle(digests, support).select(
+    return _settle(spark, digests, support).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
     )
 
@@ -56,7 +55,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, support: float = 1e-
     """
     row = docs.select(common.whole_row(docs).alias("row"), "doc_id", F.monotonically_increasing_id().alias("uid"), text_digest(F.col("text")).alias("text_sha256"))
     numbered = common.stage(spark, row, "numbered")
-    gone = _settle(numbered.drop("row"), support).filter(F.col("uid") != F.col("first.uid")).select("uid")
+    gone = _settle(spark, numbered.drop("row"), support).filter(F.col("uid") != F.col("first.uid")).select("uid")
     return numbered.join(gone, "uid", "left_anti").select("row.*")
 
 
