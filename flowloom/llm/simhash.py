@@ -12,17 +12,10 @@ differences accumulated on the bits that both share exceed the radius. Node pair
 entirely within the radius are joined by one link. A leaf gives its members' local roots, never pairs;
 the local roots are the edges of a distributed connected-components run.
 
-``drop_similar`` is the rule of the pipeline: copies are texts whose sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more. Their fingerprints differ in up to some 20 bits, too many for nodes of shared bits,
-so the upper nodes hold the documents that share one of their SKETCH least shingle hashes (a node over
-``node_size`` is split on by a second one). Inside a node, pairs within WIDE bits are candidates, and every
-candidate is checked by its exact sets before it links. Of pairs at 0.8, one in 0.2^SKETCH shares no node
-(where nodes are split, one in some millions), and the binomial tail beyond WIDE bits is about 1e-5.
-
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like
 any other; texts of one or two words are one shingle; rows with a null doc_id take part but never name
-a component unless all its ids are null; repeated rows get one row each; an empty table gives an
-empty result; extra columns are ignored.
+a component unless all its ids are null; repeated rows get one row each; texts of any length are read whole; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +33,6 @@ from .components import connected
 from .tokens import runs
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
-#: The rule of drop_similar: words of a shingle, least Jaccard similarity, bits within which pairs are checked, nodes of a document.
-SIMILAR_SHINGLE, SIMILARITY, WIDE, SKETCH = 5, 0.8, 23, 12
 FINAL_BITS, LEAF, FAN = 16, 16, 8
 
 
@@ -254,9 +245,10 @@ def components(spark: SparkSession, prints: DataFrame, order: Column) -> DataFra
     """prints(fp, ...) -> (fp, first): for each distinct fingerprint, the least order of its component."""
     fps = common.stage(spark, prints.groupBy("fp").agg(F.min(order).alias("own")), "prints")
     roots = connected(spark, link_edges(spark, fps.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("own").alias("first"))
-    return rooted.join(least, "root").select("fp", "first")
+    # aggregates are staged before they are joined, so that a hub's rows are a plain shuffle, which can be split
+    rooted = common.stage(spark, fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = common.stage(spark, rooted.groupBy("root").agg(F.min("own").alias("first")), "least")
+    return common.stage(spark, rooted.join(least, "root").select("fp", "first"), "components")
 
 
 def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -275,154 +267,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return numbered.join(stay, "uid", "left_semi").select("row.*")
 
 
-def sketches(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs(uid, text) -> rows (key, uid, fp, size), one for each of a text's SKETCH least shingle hashes; size counts its different shingles.
-
-    A text without words has the one key 0.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, fps, sizes = [np.empty(0, np.uint64)], [], []
-            for t in (t for _, _, texts in runs(b.column("text")) for t in texts):
-                h = np.unique(shingle_hashes(t, shingle))
-                keys.append(h[:SKETCH] if len(h) else np.zeros(1, np.uint64))
-                fps.append(majority(h) if len(h) else 0)
-                sizes.append(len(h))
-            many = np.array([len(k) for k in keys[1:]], np.int64)
-            uid = b.column("uid").to_numpy(zero_copy_only=False)
-            cols = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(x, np.int64), many) for x in (uid, fps, sizes))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "uid", "fp", "size"])
-
-    return docs.select("uid", "text").mapInArrow(run, "key long, uid long, fp long, size long")
-
-
-def similarity_nodes(spark: SparkSession, rows: DataFrame, node_size: int = 2048) -> DataFrame:
-    """rows(key, uid, fp, size) -> those of nodes with two documents or more; larger ones are split by a second key."""
-    sizes = common.stage(spark, rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "nodes")
-    out = rows.join(sizes.filter(F.col("members") <= node_size), "key").select("key", "uid", "fp", "size")
-    hot = sizes.filter(F.col("members") > node_size)
-    if hot.isEmpty():
-        return out
-    # sets of one shingle have no second key; of others, similar ones share two
-    other = rows.select("uid", F.col("key").alias("other"))
-    split = rows.join(hot.drop("members"), "key").join(other, "uid").filter("key <> other OR size <= 1")
-    child = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-    return out.unionByName(split.select(child.alias("key"), "uid", "fp", "size").distinct())
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, settled: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, uid, fp, size, class), equal keys together, fingerprints in Gray order -> pairs (u, v) to be checked.
-
-    Of nodes of LEAF documents or fewer all pairs within WIDE bits. In larger ones each document gives its nearest one before it;
-    once those are settled, all pairs whose classes still differ.
-    """
-
-    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    def settle(cols: tuple[np.ndarray, ...], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, uid, fp, size, cls = cols
-        fp = fp.view(np.uint64)
-        sizes = np.diff(np.append(starts, len(fp)))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        small = np.flatnonzero((sizes <= LEAF)[group])
-        if not settled and len(small):
-            f, g, n, d = fp[small], group[small], size[small], uid[small]
-            for s in range(1, LEAF):
-                i = np.flatnonzero(g[s:] == g[:-s])
-                i = i[(np.bitwise_count(f[i] ^ f[i + s]) <= WIDE) & (np.minimum(n[i], n[i + s]) >= similarity * np.maximum(n[i], n[i + s]))]
-                yield pairs(d[i], d[i + s])
-        for k in np.flatnonzero(sizes > LEAF).tolist():
-            at = slice(starts[k], starts[k] + sizes[k])
-            f, n, d, c = fp[at], size[at], uid[at], cls[at]
-            held, count = [], 0
-            for i in range(1, len(f)):
-                bits = np.bitwise_count(f[:i] ^ f[i])
-                near = (bits <= WIDE) & (np.minimum(n[:i], n[i]) >= similarity * np.maximum(n[:i], n[i]))
-                j = np.flatnonzero(near & (c[:i] != c[i])) if settled else np.flatnonzero(near)
-                if not settled and len(j):
-                    j = j[[bits[j].argmin()]]
-                held.append((np.full(len(j), d[i]), d[j]))
-                count += len(j)
-                if count > 1 << 16:
-                    yield pairs(*(np.concatenate(x) for x in zip(*held)))
-                    held, count = [], 0
-            if held:
-                yield pairs(*(np.concatenate(x) for x in zip(*held)))
-
-    held = None
-    for b in batches:
-        cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        if held is not None:
-            cols = tuple(np.concatenate(x) for x in zip(held, cols))
-        if not len(cols[0]):
-            continue
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(cols[0]) != 0) + 1))
-        last = starts[-1]
-        held = tuple(x[last:] for x in cols)
-        if last:
-            yield from settle(tuple(x[:last] for x in cols), starts[:-1])
-    if held is not None and len(held[0]):
-        yield from settle(held, np.array([0]))
-
-
-def similar_edges(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs(u, v), staged, those whose texts in docs(uid, text) have the similarity by their exact sets of shingles."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for _, _, texts in runs(b.column("text")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(found, pa.binary())], names=["uid", "hashes"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    # staged, so that its size is known and a small one is broadcast: the texts don't move then
-    ids = common.stage(spark, pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "ids")
-    hashes = common.stage(spark, docs.join(ids, "uid", "left_semi").select("uid", "text").mapInArrow(sets, "uid long, hashes binary"), "sets")
-    a, b = (hashes.select(F.col("uid").alias(k), F.col("hashes").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
-
-
-def similar_components(spark: SparkSession, docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, node_size: int = 2048) -> DataFrame:
-    """docs(uid, text), staged -> (node, root): of each document that is linked, except the roots, its component's least uid."""
-    rows = common.stage(spark, sketches(docs, shingle), "sketches")
-    nodes = common.stage(spark, similarity_nodes(spark, rows, node_size), "similarity-nodes")
-
-    def candidates(nodes: DataFrame, settled: bool) -> DataFrame:
-        dealt = nodes.withColumn("rank", gray_rank(F.col("fp"))).repartition("key").sortWithinPartitions("key", "rank").select("key", "uid", "fp", "size", "class")
-        return common.stage(spark, dealt.mapInArrow(lambda batches: _candidates(batches, similarity, settled), "u long, v long").distinct(), "pairs")
-
-    first = candidates(nodes.withColumn("class", F.lit(0).cast("long")), False)
-    edges = common.stage(spark, similar_edges(spark, docs, first, shingle, similarity), "edges")
-    roots = connected(spark, edges)
-    large = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > LEAF).select("key")
-    open_ = nodes.join(large, "key", "left_semi").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("class", F.coalesce("root", "uid"))
-    second = candidates(open_.select("key", "uid", "fp", "size", "class"), True)
-    if second.isEmpty():
-        return roots
-    return connected(spark, edges.unionByName(similar_edges(spark, docs, second, shingle, similarity)))
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay: of each component of similar texts the one with the smallest doc_id (of repeated ids one row)."""
-    numbered = common.stage(spark, docs.select(common.whole_row(docs).alias("row"), "doc_id", F.monotonically_increasing_id().alias("uid")), "numbered")
-    roots = similar_components(spark, numbered.select("uid", "row.text"), shingle, similarity)
-    member = roots.select("root", F.col("node").alias("uid")).unionByName(roots.select("root", F.col("root").alias("uid")).distinct())
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("uid"))
-    named = common.stage(spark, numbered.select("uid", "doc_id").join(member, "uid").select("root", order.alias("at")), "members")
-    least = named.groupBy("root").agg(F.min("at").alias("first"))
-    gone = common.stage(spark, named.join(least, "root").filter(F.col("at.uid") != F.col("first.uid")).select("at.uid"), "gone")
-    return numbered.join(gone, "uid", "left_anti").select("row.*")
-
-
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark, common.table(spark, sf_dir, "documents"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from flowloom.llm import common, components, exact_dedup, similar
 from flowloom.llm import simhash as S
 from flowloom.llm.components import connected
 
@@ -176,12 +177,12 @@ def test_similar_texts_against_brute_force(spark, docs_of, node_size):
     want, pairs = similar_survivors(rows)
     assert pairs > 100
     df = docs_of(rows)
-    left = S.drop_similar(spark, df)
+    left = similar.drop_similar(spark, df)
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == want
     staged = S.common.stage(spark, df.select(S.F.col("doc_id").cast("long").alias("uid"), "text"), "docs")
-    gone = {r["node"] for r in S.similar_components(spark, staged, node_size=node_size).collect()}
+    gone = {r["node"] for r in similar.similar_components(spark, staged, node_size=node_size).collect()}
     assert sorted({i for i, _ in rows} - gone) == want
-    assert S.drop_similar(spark, df.limit(0)).isEmpty()
+    assert similar.drop_similar(spark, df.limit(0)).isEmpty()
 
 
 def test_pipeline_stage_drops_similar_texts(spark):
@@ -192,3 +193,35 @@ def test_pipeline_stage_drops_similar_texts(spark):
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     want, _ = similar_survivors(rows)
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == want
+
+
+def splits(df):
+    """Whether Spark dealt a large key's rows to several tasks."""
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def skewed(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_a_hub_is_split(skewed):
+    low = common.stage(skewed, skewed.range(1, 20_001, numPartitions=8).selectExpr("id AS u", "0L AS v"), "hub")
+    assert splits(components._large_star(skewed, low))
+    high = common.stage(skewed, skewed.range(1, 20_001, numPartitions=8).selectExpr("7000000L AS u", "id AS v"), "hub")
+    assert splits(components._small_star(skewed, high))
+
+
+def test_a_large_group_of_copies_is_split(skewed):
+    digests = skewed.range(20_000, numPartitions=8).selectExpr("id AS doc_id", "id AS uid", "IF(id % 2 = 0, 'hot', CAST(id AS STRING)) AS text_sha256")
+    settled = exact_dedup._settle(skewed, common.stage(skewed, digests, "digests"), 0.9)  # no winner: the ordinary way alone
+    assert splits(settled) and {(r["group_size"], r["n"]) for r in settled.groupBy("group_size").count().withColumnRenamed("count", "n").collect()} == {(10_000, 10_000), (1, 10_000)}
