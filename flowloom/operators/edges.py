@@ -21,8 +21,12 @@ def _raw(df: DataFrame, stage: int, kind: str, src: str, dst: str, *keys: str) -
     return df.select("module_id", F.lit(stage).alias("stage"), *[k.alias(f"k{i + 1}") for i, k in enumerate(ks)], F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"))
 
 
+def _scope() -> Column:
+    return expr.scope(F.col("kind"), F.col("owner_fn_id")).alias("scope")
+
+
 def _calls(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("kind = 'Call'").select("module_id", F.col("node_ord").alias("call_ord"), F.col("id").alias("call_id"), "callee", "arg_texts", F.col("owner_fn_id").alias("scope"))
+    return nodes.filter("kind = 'Call'").select("module_id", F.col("node_ord").alias("call_ord"), F.col("id").alias("call_id"), "callee", "arg_texts", _scope())
 
 
 def _functions(nodes: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def flows_to(nodes: DataFrame) -> DataFrame:
     args = args.withColumn("ref", expr.operand_name(F.col("text"))).filter("ref IS NOT NULL")
     into_calls = _raw(_uses(args, defs), 1, "FLOWS_TO", "def_id", "call_id", "call_ord", "pos", "def_ord")
 
-    variables = nodes.filter("kind = 'Variable' AND init_text IS NOT NULL").select("module_id", F.col("node_ord").alias("var_ord"), F.col("id").alias("var_id"), "init_text", F.col("owner_fn_id").alias("scope"))
+    variables = nodes.filter("kind = 'Variable' AND init_text IS NOT NULL").select("module_id", F.col("node_ord").alias("var_ord"), F.col("id").alias("var_id"), "init_text", _scope())
     built = expr.new_init(F.col("init_text"))
     plain = variables.withColumn("ref", expr.operand_name(F.coalesce(built, F.col("init_text")))).filter("ref IS NOT NULL")
     into_variables = _raw(_uses(plain, defs).filter("def_id <> var_id"), 2, "FLOWS_TO", "def_id", "var_id", "var_ord", "def_ord")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.schemas import DEFAULT_EDGE_KINDS, MAX_DEPTH, Graph
 from ..plans.staging import staged
 from ..sources import rules as catalog
-from . import reach, roles
+from . import reach, roles, store
 
 COLUMNS = ("module_id", "finding_ord", "source_id", "sink_id", "path", "sanitized", "cwe", "cwe_name", "rule_id")
 
@@ -19,7 +19,7 @@ COLUMNS = ("module_id", "finding_ord", "source_id", "sink_id", "path", "sanitize
 class Config:
     """rules replace the catalog's; max_depth and edge_kinds bound the traversal; mode is 'shortest' or 'all_paths'.
 
-    plan: 'grouped' searches module by module, 'levels' joins level by level; they give the same rows.
+    plan: 'grouped' searches module by module, 'levels' joins level by level from the sinks; they give the same rows.
     """
 
     rules: DataFrame | list[roles.Predicate] | None = None
@@ -63,10 +63,22 @@ def find_flows(spark: SparkSession, graph: Graph, config: Config | None = None)
     if config.mode != "shortest":
         raise ValueError(config.mode)
     if config.plan == "levels":
-        paths = reach.shortest_paths(spark, graph.edges, starts, config.max_depth, config.edge_kinds)
+        paths = reach.shortest_paths_to(spark, graph.edges, starts, by_role["sink"], config.max_depth, config.edge_kinds)
     else:
         paths = reach.shortest_paths_grouped(graph.edges, starts, config.max_depth, config.edge_kinds)
     to_sinks = staged(spark, paths.join(by_role["sink"], ["module_id", "node_id"], "left_semi"), "paths")
     clean = to_sinks.join(sanitized_keys(to_sinks, by_role["sanitizer"]), ["module_id", "source_id", "node_id"], "left_anti").withColumnRenamed("node_id", "sink_id")
     rows = _ordered(clean, found).join(roles.first_sink_rule(hits), ["module_id", "sink_id"], "left")
     return rows.withColumn("sanitized", F.lit(False)).select(*COLUMNS)
+
+
+def find_stored_flows(spark: SparkSession, graph: Graph, path: str, config: Config | None = None) -> DataFrame:
+    """Persist, query, enrich: the graph is stored below path, its trails are searched there, and the sinks' rules are added."""
+    config = config or Config()
+    rule_rows = catalog.rules(spark) if config.rules is None else config.rules
+    hits = staged(spark, roles.rule_hits(graph.nodes, rule_rows), "hits")
+    found = staged(spark, roles.roles_of(hits, graph.edges), "roles")
+    store.write(graph, found, path)
+    trails = staged(spark, store.read_flows(spark, path, config.max_depth), "trails")
+    rows = _ordered(trails, found, "path").join(roles.first_sink_rule(hits, last=True), ["module_id", "sink_id"], "left")
+    return rows.withColumn("sanitized", F.lit(False)).select(*COLUMNS)

@@ -1,9 +1,11 @@
 """Bounded reachability over an edge table.
 
-Shortest paths carry the sequence of edge_ord they took; the least sequence among the shortest is the path
-that a first-in-first-out search of the ordered edges finds. Two plans give the same rows:
+Of the shortest paths between two nodes, the one with the least sequence of edge_ord counts: it is the path that a
+first-in-first-out search of the ordered edges finds. Three plans give the same rows:
 
-* ``shortest_paths``: one join and one grouped minimum per level, for graphs of any size;
+* ``shortest_paths_to``: from the targets backwards, a row of ids per node and target; the next hop is the least
+  edge into the level before, so no path is carried, and paths are put together for the starts that arrive;
+* ``shortest_paths``: from the starts forwards to every node, one join and one grouped minimum per level;
 * ``shortest_paths_grouped``: one search per module in an Arrow cogroup, for many small modules (a
   module is one source file, so a group is bounded by a file).
 """
@@ -96,6 +98,57 @@ def shortest_paths_grouped(edges: DataFrame, starts: DataFrame, max_depth: int =
     return left.groupBy("start_module").cogroup(right.groupBy("edge_module")).applyInArrow(run, PATHS)
 
 
+def _levels_back(spark: SparkSession, adj: DataFrame, first: DataFrame, max_depth: int, hop: bool) -> list[DataFrame]:
+    """first(module_id, node_id, target_id) -> per level its new (module_id, node_id, target_id[, dst, edge_ord]), staged."""
+    keys = ["module_id", "node_id", "target_id"]
+    none = [F.lit(None).cast("string").alias("dst"), F.lit(None).cast("int").alias("edge_ord")] if hop else []
+    levels = [staged(spark, first.select(*keys, *none).distinct(), "back")]
+    found = levels[0].select(*keys)
+    into = adj.withColumnRenamed("dst", "node_id")
+    for _ in range(max_depth):
+        step = levels[-1].select(*keys).join(into, ["module_id", "node_id"])
+        by = ["module_id", F.col("src").alias("node_id"), "target_id"]
+        step = step.select(*by, F.struct("edge_ord", F.col("node_id").alias("dst")).alias("h")).groupBy(*keys).agg(F.min("h").alias("h")).select(*keys, "h.dst", "h.edge_ord") if hop else step.select(*by).distinct()
+        level = staged(spark, step.join(found, keys, "left_anti"), "back")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        found = found.unionByName(level.select(*keys))
+    return levels
+
+
+def shortest_paths_to(spark: SparkSession, edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH, kinds: tuple[str, ...] | None = DEFAULT_EDGE_KINDS) -> DataFrame:
+    """The rows of shortest_paths whose node is one of targets(module_id, node_id), searched from there."""
+    first = targets.select("module_id", "node_id", F.col("node_id").alias("target_id"))
+    levels = _levels_back(spark, adjacency(edges, kinds), first, max_depth, hop=True)
+    begin = starts.select("module_id", "source_id").distinct()
+    out = walk = None
+    for depth in range(len(levels) - 1, -1, -1):
+        here = levels[depth].withColumnRenamed("node_id", "at")
+        if walk is not None:  # those on their way take the hop of this level
+            walk = walk.join(here, ["module_id", "at", "target_id"]).select(
+                "module_id", "source_id", "target_id", "depth", F.concat("path", F.array("dst")).alias("path"), F.concat("path_ord", F.array("edge_ord")).alias("path_ord"), F.col("dst").alias("at"),
+            ) if depth else walk
+        new = begin.join(here.withColumnRenamed("at", "source_id"), ["module_id", "source_id"])
+        hop = lambda c, kind: F.array(c) if depth else F.array().cast(kind)  # noqa: B023, E731
+        new = new.select(
+            "module_id", "source_id", "target_id", F.lit(depth).alias("depth"), F.concat(F.array("source_id"), hop("dst", "array<string>")).alias("path"),
+            hop("edge_ord", "array<int>").alias("path_ord"), (F.col("dst") if depth else F.col("source_id")).alias("at"),
+        )
+        walk = new if walk is None else walk.unionByName(new)
+    out = walk
+    return out.select("module_id", "source_id", F.col("target_id").alias("node_id"), "depth", "path", "path_ord")
+
+
+def reaching(spark: SparkSession, edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH, kinds: tuple[str, ...] | None = DEFAULT_EDGE_KINDS) -> DataFrame:
+    """(module_id, node_id) of every node from which one of targets(module_id, node_id) is reached, the targets included."""
+    levels = _levels_back(spark, adjacency(edges, kinds), targets.select("module_id", "node_id", F.lit("").alias("target_id")), max_depth, hop=False)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select("module_id", "node_id")
+
+
 def reaches(paths: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(module_id, node_id): (module_id, source_id, node_id) of those that are reached."""
     return paths.select("module_id", "source_id", "node_id").join(targets, ["module_id", "node_id"], "left_semi")
@@ -105,10 +158,13 @@ def all_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, sinks: D
     """Every trail (no edge twice) of 1 to max_depth edges from a start to a sink without a blocked node: PATHS, a row per trail.
 
     starts(module_id, source_id), sinks(module_id, node_id) and blocked(module_id, node_id) are distinct. Blocked nodes
-    are cut in the step, before trails multiply; trails themselves are the result, however many there are.
+    and nodes from which no sink is reached are cut before trails multiply; trails themselves are the result, however
+    many there are.
     """
     adj = adjacency(edges, kinds)
-    adj = adj.join(blocked.select("module_id", F.col("node_id").alias("dst")), ["module_id", "dst"], "left_anti").withColumnRenamed("src", "node_id")
+    open_ = adj.join(blocked.select("module_id", F.col("node_id").alias("dst")), ["module_id", "dst"], "left_anti")
+    alive = reaching(spark, open_.withColumn("kind", F.lit("")), sinks, max_depth - 1, None).withColumnRenamed("node_id", "dst")
+    adj = open_.join(alive, ["module_id", "dst"], "left_semi").withColumnRenamed("src", "node_id")
     first = starts.join(blocked.select("module_id", F.col("node_id").alias("source_id")), ["module_id", "source_id"], "left_anti")
     frontier = staged(spark, _starts(first), "trails")
     out = frontier.limit(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.schemas import DEFAULT_EDGE_KINDS, Graph
+from ..plans.schemas import DEFAULT_EDGE_KINDS, EDGES, Graph
 from . import roles as roles_
 
 PROPERTIES = ("id", "kind", "name", "code", "file", "line", "col", "taintRole", "callee")
@@ -17,19 +17,48 @@ def node_properties(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     return nodes.join(main, ["module_id", "id"], "left").select("module_id", "node_ord", "id", "kind", "name", "code", "file", "line", "col", "taintRole", F.when(F.col("kind") == "Call", F.col("callee")).alias("callee"))
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def write(graph: Graph, roles: DataFrame, path: str) -> None:
-    """Replaces the tables below path; edges are parted by kind, so that readers prune."""
-    node_properties(graph.nodes, roles).write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+    """Stores the graph as a new version below path, then names it the current one: readers see the old graph or the new one.
+
+    Edges are parted by kind, so that readers prune. The version before the last is deleted.
+    """
+    spark = graph.nodes.sparkSession
+    fs, _ = _fs(spark, path)
+    old = versions(spark, path)
+    version = f"v{old[-1] + 1 if old else 0:09d}"
+    node_properties(graph.nodes, roles).write.mode("overwrite").parquet(f"{path}/{version}/nodes")
+    graph.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/{version}/edges")
+    fs.create(_fs(spark, f"{path}/{version}/_COMPLETE")[1]).close()  # made last, so a version with it is whole
+    for v in old[:-1]:
+        fs.delete(_fs(spark, f"{path}/v{v:09d}")[1], True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions below path, ascending."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(_fs(spark, f"{path}/{n}/_COMPLETE")[1]))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return bool(versions(spark, path))
 
 
 def read(spark: SparkSession, path: str) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select("module_id", "edge_ord", "kind", "src", "dst"))
+    """The latest whole version."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    at = f"{path}/v{found[-1]:09d}"
+    return Graph(spark.read.parquet(f"{at}/nodes"), spark.read.schema(EDGES).parquet(f"{at}/edges"))
 
 
 def read_flows(spark: SparkSession, path: str, max_depth: int = 15) -> DataFrame:

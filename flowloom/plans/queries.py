@@ -7,28 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import edges as edges_
-from ..operators import elements, findings, metrics, reach, roles, store
+from ..operators import findings, metrics, reach
 from ..sources import fixtures, rules, scan
 from . import fixture_goldens as goldens
-from .schemas import Graph
+from .registry import QUERIES, SQL, query
+from .schemas import MAX_DEPTH, Graph
 from .staging import staged
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -81,10 +66,16 @@ def edge_kind_hist(spark: SparkSession, sf: str) -> DataFrame:
     return edges_.edge_kind_counts(_flow_edges(spark, sf))
 
 
-def _flow_paths(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _flow_ends(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, customers, regions)"""
     graph = staged(spark, _flow_edges(spark, sf), "flow")
     starts = graph.filter("stage = 0").select("module_id", F.col("src").alias("source_id")).distinct()
-    return graph, reach.shortest_paths(spark, graph, starts, max_depth=15, kinds=("FLOWS_TO",))
+    return graph, starts, graph.filter("stage = 3").select("module_id", F.col("dst").alias("node_id")).distinct()
+
+
+def _flow_paths(spark: SparkSession, sf: str) -> DataFrame:
+    graph, starts, sinks = _flow_ends(spark, sf)
+    return reach.shortest_paths_to(spark, graph, starts, sinks, max_depth=15, kinds=("FLOWS_TO",))
 
 
 _REACH_SQL = f"""WITH RECURSIVE {_FLOW_SQL},
@@ -96,15 +87,13 @@ b AS (SELECT source_id, node_id, min(depth)::INT AS depth, arg_min(path, path_or
 
 @query(f"{_REACH_SQL} SELECT source_id, node_id, depth, array_to_string(path, '>') AS path FROM b")
 def flow_reach_shortest(spark: SparkSession, sf: str) -> DataFrame:
-    _, paths = _flow_paths(spark, sf)
-    return paths.filter("node_id LIKE 'r%'").select("source_id", "node_id", "depth", F.concat_ws(">", "path").alias("path"))
+    return _flow_paths(spark, sf).select("source_id", "node_id", "depth", F.concat_ws(">", "path").alias("path"))
 
 
 @query(f"{_REACH_SQL} SELECT source_id, node_id AS sink_id, array_to_string(path, '>') AS path FROM b WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND list_contains(b.path, 'o' || o_orderkey))")
 def flow_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Paths whose chosen order is not of status F: the sanitizer test follows the choice of the path."""
-    _, paths = _flow_paths(spark, sf)
-    to_sinks = paths.filter("node_id LIKE 'r%'")
+    to_sinks = staged(spark, _flow_paths(spark, sf), "paths")
     sane = _t(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.lit("flow").alias("module_id"), F.concat(F.lit("o"), "o_orderkey").alias("node_id"))
     clean = to_sinks.join(findings.sanitized_keys(to_sinks, sane), ["module_id", "source_id", "node_id"], "left_anti")
     return clean.select("source_id", F.col("node_id").alias("sink_id"), F.concat_ws(">", "path").alias("path"))
@@ -117,9 +106,7 @@ p AS (
   UNION ALL SELECT source_id, ok.dst, depth + 1, list_append(path, ok.dst) FROM p JOIN ok ON ok.src = p.node_id WHERE depth < 15)
 SELECT source_id, node_id AS sink_id, array_to_string(path, '>') AS path FROM p WHERE node_id LIKE 'r%'""")
 def flow_all_paths(spark: SparkSession, sf: str) -> DataFrame:
-    graph = staged(spark, _flow_edges(spark, sf), "flow")
-    starts = graph.filter("stage = 0").select("module_id", F.col("src").alias("source_id")).distinct()
-    sinks = graph.filter("stage = 3").select("module_id", F.col("dst").alias("node_id")).distinct()
+    graph, starts, sinks = _flow_ends(spark, sf)
     blocked = _t(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.lit("flow").alias("module_id"), F.concat(F.lit("o"), "o_orderkey").alias("node_id"))
     found = reach.all_paths(spark, graph, starts, sinks, blocked, 15, ("FLOWS_TO",))
     return found.select("source_id", F.col("node_id").alias("sink_id"), F.concat_ws(">", "path").alias("path"))
@@ -127,39 +114,29 @@ def flow_all_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_REACH_SQL} SELECT DISTINCT source_id FROM b")
 def flow_reaches(spark: SparkSession, sf: str) -> DataFrame:
-    graph, paths = _flow_paths(spark, sf)
-    sinks = graph.filter("stage = 3").select("module_id", F.col("dst").alias("node_id")).distinct()
-    return reach.reaches(paths, sinks).select("source_id").distinct()
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def root_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    graph, starts, sinks = _flow_ends(spark, sf)
+    return starts.join(reach.reaching(spark, graph, sinks, 15, ("FLOWS_TO",)).withColumnRenamed("node_id", "source_id"), ["module_id", "source_id"], "left_semi").select("source_id")
 
 
 # --- events: next-event edges per user, signup to purchase, errors in between sanitize ---
 
 
-def _event_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("module_id"), "event_id", "ts", "event_type")
-    follow = F.lead("event_id").over(Window.partitionBy("module_id").orderBy("ts", "event_id"))
-    nodes = e.select("module_id", F.col("event_id").cast("string").alias("node_id"), "event_type", follow.cast("string").alias("dst"))
-    edges = nodes.filter("dst IS NOT NULL").select("module_id", F.lit(0).alias("edge_ord"), F.lit("FLOWS_TO").alias("kind"), F.col("node_id").alias("src"), "dst")
-    return nodes, edges
-
-
 @query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
 SELECT a.user_id::VARCHAR AS module_id, a.event_id::VARCHAR AS source_id, b.event_id::VARCHAR AS sink_id, (b.k - a.k)::INT AS depth
 FROM o a JOIN o b ON a.user_id = b.user_id AND b.k > a.k AND b.k - a.k <= 15
 WHERE a.event_type = 'signup' AND b.event_type = 'purchase'
   AND NOT EXISTS (SELECT 1 FROM o c WHERE c.user_id = a.user_id AND c.k > a.k AND c.k < b.k AND c.event_type = 'error')""")
 def event_flow(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _event_graph(spark, sf)
-    of = lambda kind: nodes.filter(F.col("event_type") == kind).select("module_id", "node_id")
-    paths = reach.shortest_paths_grouped(edges, of("signup").withColumnRenamed("node_id", "source_id"))
-    to_sinks = paths.join(of("purchase"), ["module_id", "node_id"], "left_semi")
-    clean = to_sinks.join(findings.sanitized_keys(to_sinks, of("error")), ["module_id", "source_id", "node_id"], "left_anti")
-    return clean.select("module_id", "source_id", F.col("node_id").alias("sink_id"), "depth")
+    """Events of a user are a chain, so what a purchase is reached from are its rows before: a frame of 15 rows, in the JVM."""
+    e = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("module_id"), F.col("event_id").cast("string").alias("node_id"), "ts", "event_id", "event_type")
+    per_user = Window.partitionBy("module_id").orderBy("ts", "event_id")
+    before = per_user.rowsBetween(-MAX_DEPTH, -1)
+    ranked = e.withColumn("k", F.row_number().over(per_user))
+    ranked = ranked.withColumn("errors", F.max(F.when(F.col("event_type") == "error", F.col("k"))).over(before))
+    ranked = ranked.withColumn("from", F.collect_list(F.when(F.col("event_type") == "signup", F.struct("k", "node_id"))).over(before))
+    pairs = ranked.filter("event_type = 'purchase'").select("module_id", F.explode("from").alias("s"), F.col("node_id").alias("sink_id"), "k", "errors")
+    clean = pairs.filter(F.col("errors").isNull() | (F.col("errors") < F.col("s.k")))
+    return clean.select("module_id", F.col("s.node_id").alias("source_id"), "sink_id", (F.col("k") - F.col("s.k")).cast("int").alias("depth"))
 
 
 # --- rules, scalar operators, counts ---
@@ -225,24 +202,27 @@ def label_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _page_sources(spark: SparkSession, sf: str) -> DataFrame:
-    script = F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1)
-    return _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("module_id"), F.concat(F.lit("p"), "page_id", F.lit(".js")).alias("file"), script.alias("code")).filter("code <> ''")
+    """Every script of every page; a module is a page's number and the script's place in it."""
+    scripts = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "code")
+    rows = _t(spark, sf, "pages").select("page_id", scripts).filter("code <> ''")
+    return rows.select(F.concat_ws("-", "page_id", "k").alias("module_id"), F.concat(F.lit("p"), "page_id", F.lit(".js")).alias("file"), "code")
 
 
-_SCRIPT_SQL = "s AS (SELECT page_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS code FROM pages), v AS (SELECT page_id, code, regexp_extract(code, '^var t=\"(.*)\";track\\((\\d+)\\);$', 2) AS arg FROM s WHERE code <> '')"
+_SCRIPT_SQL = """s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS code, generate_subscripts(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), 1) - 1 AS k FROM pages),
+v AS (SELECT page_id || '-' || k AS module_id, code, regexp_extract(code, '^var t="(.*)";track\\((\\d+)\\);$', 2) AS arg FROM s WHERE code <> '')"""
 
 
 @query(f"""WITH {_SCRIPT_SQL}
-SELECT page_id::VARCHAR AS module_id, 0 AS node_ord, 'Variable' AS kind, 't' AS name, 1 AS line, 5 AS col, '"</p>"' AS text FROM v
-UNION ALL SELECT page_id::VARCHAR, 1, 'Literal', '', 1, 7, '</p>' FROM v
-UNION ALL SELECT page_id::VARCHAR, 2, 'Call', 'track', 1, 14, arg FROM v""")
+SELECT module_id, 0 AS node_ord, 'Variable' AS kind, 't' AS name, 1 AS line, 5 AS col, '"</p>"' AS text FROM v
+UNION ALL SELECT module_id, 1, 'Literal', '', 1, 7, '</p>' FROM v
+UNION ALL SELECT module_id, 2, 'Call', 'track', 1, 14, arg FROM v""")
 def pages_ir_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes = scan.parse_nodes(_page_sources(spark, sf))
     text = F.coalesce("init_text", "value", F.array_join("arg_texts", ","))
     return nodes.select("module_id", "node_ord", "kind", "name", "line", "col", text.alias("text"))
 
 
-@query(f"WITH {_SCRIPT_SQL} SELECT kind, count(*) AS n_nodes, count(DISTINCT page_id) AS n_modules FROM v, (VALUES ('Variable'), ('Literal'), ('Call')) k(kind) GROUP BY kind")
+@query(f"WITH {_SCRIPT_SQL} SELECT kind, count(*) AS n_nodes, count(DISTINCT module_id) AS n_modules FROM v, (VALUES ('Variable'), ('Literal'), ('Call')) k(kind) GROUP BY kind")
 def pages_node_kinds(spark: SparkSession, sf: str) -> DataFrame:
     nodes = scan.parse_nodes(_page_sources(spark, sf))
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("module_id").alias("n_modules"))
@@ -299,22 +279,6 @@ def catalog_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rules(spark).groupBy("rule_kind").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
-@query()
-def fixture_elements(spark: SparkSession, sf: str) -> DataFrame:
-    _, graph = _fixture(spark)
-    found = findings.find_flows(spark, graph)
-    held = roles.roles_of(roles.rule_hits(graph.nodes, rules.rules(spark)), graph.edges)
-    return elements.elements(graph, held, found, dim=True)
-
-
-@query()
-def fixture_statements(spark: SparkSession, sf: str) -> DataFrame:
-    _, graph = _fixture(spark)
-    return store.statements(graph, roles.roles_of(roles.rule_hits(graph.nodes, rules.rules(spark)), graph.edges))
-
+from . import fixture_queries  # noqa: E402, F401  (registers the queries over the snippets' goldens)
 
-@query()
-def fixture_titles(spark: SparkSession, sf: str) -> DataFrame:
-    _, graph = _fixture(spark)
-    found = findings.find_flows(spark, graph)
-    return elements.finding_texts(graph.nodes, found).join(elements.lines_on_path(graph.nodes, found), ["module_id", "finding_ord"])
+__all__ = ["QUERIES", "SQL"]

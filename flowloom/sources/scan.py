@@ -122,6 +122,20 @@ def parse_nodes(sources: DataFrame) -> DataFrame:
     return sources.select("module_id", "file", "code").mapInArrow(run, schemas.NODES)
 
 
+def parse_errors(sources: DataFrame) -> DataFrame:
+    """sources(module_id, file, code) -> (module_id, errors): a row for each module, whether or not it has nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sys
+
+        sys.setrecursionlimit(max(5000, sys.getrecursionlimit()))
+        for b in batches:
+            found = [parse(code or "")[1] for code in b.column("code").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("module_id"), pa.array(found, pa.int32())], names=["module_id", "errors"])
+
+    return sources.select("module_id", "code").mapInArrow(run, "module_id string, errors int")
+
+
 def read_sources(spark: SparkSession, path: str, pattern: str = "*.{js,jsx,mjs,cjs,ts,mts,cts}") -> DataFrame:
     """Every source file below path as (module_id, file, code); module_id is the full path."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)

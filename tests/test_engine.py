@@ -116,6 +116,11 @@ def test_reach_plans_agree_on_random_graphs(spark):
         a = sorted(map(str, reach.shortest_paths(spark, e, s, depth).collect()))
         b = sorted(map(str, reach.shortest_paths_grouped(e, s, depth).collect()))
         assert a == b and a
+        targets = spark.createDataFrame([(m, n) for m, n in starts if n in ("n0", "n4")], "module_id string, node_id string")
+        want = sorted(str(r) for r in reach.shortest_paths(spark, e, s, depth).join(targets, ["module_id", "node_id"], "left_semi").select("module_id", "source_id", "node_id", "depth", "path", "path_ord").collect())
+        assert want == sorted(map(str, reach.shortest_paths_to(spark, e, s, targets, depth).collect())) and want
+        to = {(r["module_id"], r["source_id"]) for r in reach.reaches(reach.shortest_paths(spark, e, s, depth), targets).collect()}
+        assert to == {(r["module_id"], r["node_id"]) for r in reach.reaching(spark, e, targets, depth).collect()} & set(starts)
 
 
 def test_all_paths_against_brute_force(spark):
