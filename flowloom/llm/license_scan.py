@@ -1,19 +1,21 @@
 """License scan: winnowed fingerprints find candidates, banded alignment measures them.
 
-Templates are cut into words; the minimum hash of each window of WINNOW consecutive K-word grams is
-kept as a fingerprint, and an inverted index maps fingerprints to template places. A document probes the
-index with all its grams, so any run of K + WINNOW - 1 shared words gives a hit. Hits of one template
+Templates are cut into words; the minimum hash of each window of consecutive word grams is kept as a
+fingerprint, and an inverted index maps fingerprints to template places. A document probes the index with all
+its grams. Grams have three words and windows two grams, so that four words in a row that document and template
+share give a hit (with a fifth of the words missing, a long template still has such a run); templates under LONG
+words keep all their grams, those under SHORT words all their pairs of words. Hits of one template
 on nearby diagonals are one candidate; a banded alignment (longest common subsequence within BAND
 words of the diagonals) of the template against that part of the document gives the matched words, from which
-come coverage (matched share of the template's words) and the span. Spans that overlap keep the one
-with more matched words.
+come coverage (matched share of the template's words) and the span. What lies before and after a match is aligned
+again, so that repeats side by side are all found. Spans that overlap keep the one with more matched words.
 
 Work per document grows with its words and its hits; nothing is shuffled. The templates are a
-parameter; the list here is fixed wording of public licenses.
+parameter; the list here is fixed wording of public licenses: notices and first paragraphs, not whole bodies.
 
-Defined cases: null and empty texts match nothing; every occurrence is a row; repeated rows report the
-same; ties between templates of equal matched words go to the higher coverage, then to the
-name; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Defined cases: null and empty texts match nothing; texts of any length are scanned whole; every occurrence is a
+row; repeated rows report the same; ties between templates of equal matched words go to the higher coverage, then
+to the name; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .tokens import runs
 
-K, WINNOW, BAND, COVERAGE = 3, 3, 8, 0.8
+BAND, COVERAGE = 8, 0.8
+#: Templates of fewer words keep all grams; of still fewer, grams of two words.
+LONG, SHORT = 20, 10
+
+
+def gram_size(n: int) -> int:
+    return 2 if n < SHORT else 3
+
+
+def winnow_size(n: int) -> int:
+    return 1 if n < LONG else 2
+
+
 _WORD = re.compile("[a-z0-9]+")
 
 #: Fixed wording: notices and first paragraphs of public licenses.
@@ -97,53 +111,62 @@ class Scanner:
         self.vocabulary: dict[str, int] = {}
         self.templates = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(templates[n])], np.int64) for n in self.names]
         self.size = len(self.vocabulary) + 1
-        index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {2: {}, 3: {}}  # size of grams -> fingerprint -> (template, place)
         for t, ids in enumerate(self.templates):
-            grams = self.grams(ids)
+            index, window = self.index[gram_size(len(ids))], winnow_size(len(ids))
+            grams = self.grams(ids, gram_size(len(ids)))
             order = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            for at in range(max(1, len(grams) - WINNOW + 1)) if len(grams) else ():
-                k = at + int(order[at : at + WINNOW].argmin())
+            for at in range(max(1, len(grams) - window + 1)) if len(grams) else ():
+                k = at + int(order[at : at + window].argmin())
                 if (t, k) not in index.setdefault(int(grams[k]), []):
                     index[int(grams[k])].append((t, k))
-        self.index, self.keys = index, np.array(sorted(index), np.int64)
+        self.keys = {k: np.array(sorted(x), np.int64) for k, x in self.index.items()}
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """K-word grams as numbers; those that hold a word of no template are -1."""
-        if len(ids) < K:
+    def grams(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Grams of k words as numbers; those that hold a word of no template are -1."""
+        if len(ids) < k:
             return np.empty(0, np.int64)
-        out, ok = np.zeros(len(ids) - K + 1, np.int64), np.ones(len(ids) - K + 1, bool)
-        for k in range(K):
-            part = ids[k : len(ids) - K + 1 + k]
+        out, ok = np.zeros(len(ids) - k + 1, np.int64), np.ones(len(ids) - k + 1, bool)
+        for i in range(k):
+            part = ids[i : len(ids) - k + 1 + i]
             out = out * self.size + part
             ok &= part > 0
         return np.where(ok, out, -1)
 
+    def _matches(self, t: int, ids: np.ndarray, start: int, end: int, a: int, b: int) -> Iterator[tuple]:
+        """All matches of a template in the words from start to end, on the diagonals a to b."""
+        template = self.templates[t]
+        if end - start < COVERAGE * len(template):
+            return
+        m, x, y = aligned(template, ids[start:end], a - BAND - start, b + BAND - start)
+        if m >= COVERAGE * len(template):
+            yield m, m / len(template), self.names[t], start + x, start + y
+            yield from self._matches(t, ids, start, start + x, a, b)
+            yield from self._matches(t, ids, start + y, end, a, b)
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """Matches of a text: (template, first word, last word + 1, matched words, coverage), in order."""
         words = words_of(text)
         ids = np.array(list(map(self.vocabulary.get, words, [0] * len(words))), np.int64)
-        grams = self.grams(ids)
-        hits = np.flatnonzero(np.isin(grams, self.keys)) if (grams >= 0).any() else ()
         found = []
         by_template: dict[int, list[tuple[int, int]]] = {}
-        for at in map(int, hits):
-            for t, k in self.index[int(grams[at])]:
-                by_template.setdefault(t, []).append((at - k, at))
+        for size, index in self.index.items():
+            grams = self.grams(ids, size)
+            for at in map(int, np.flatnonzero(np.isin(grams, self.keys[size])) if (grams >= 0).any() else ()):
+                for t, k in index[int(grams[at])]:
+                    by_template.setdefault(t, []).append((at - k, at))
         for t, places in by_template.items():
             template = self.templates[t]
             places.sort()
             groups = [[places[0][0], places[0][0]]]
+            widest = max(BAND, len(template) // 2)  # so that a candidate holds a few occurrences at most
             for d, _ in places[1:]:
-                if d - groups[-1][0] <= BAND:
+                if d - groups[-1][1] <= BAND and d - groups[-1][0] <= widest:
                     groups[-1][1] = d
                 else:
                     groups.append([d, d])
             for a, b in groups:
-                start = max(0, a - BAND)
-                part = ids[start : b + len(template) + BAND]
-                m, x, y = aligned(template, part, a - BAND - start, b + BAND - start)
-                if m >= COVERAGE * len(template):
-                    found.append((m, m / len(template), self.names[t], start + x, start + y))
+                found += self._matches(t, ids, max(0, a - BAND), min(len(ids), b + len(template) + BAND), a, b)
         kept: list[tuple[int, int, str, int, float]] = []  # spans in order, none of which overlap
         for m, c, name, x, y in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
             i = bisect_left(kept, (x, y))

@@ -242,6 +242,41 @@ def test_alignment_against_full_table():
 def test_winnowing_hits_every_long_run():
     s = license_scan.Scanner()
     for name, ids in zip(s.names, s.templates):
-        grams, need = s.grams(ids), license_scan.K + license_scan.WINNOW - 1
+        k, window = license_scan.gram_size(len(ids)), license_scan.winnow_size(len(ids))
+        grams, need = s.grams(ids, k), k + window - 1
         for at in range(len(ids) - need + 1):
-            assert np.isin(grams[at : at + license_scan.WINNOW], s.keys).any(), name
+            assert np.isin(grams[at : at + window], s.keys[k]).any(), name
+
+
+def test_repeats_side_by_side_are_all_found():
+    s, body = license_scan.Scanner(), license_scan.TEMPLATES["MIT"]
+    for n, gap in ((2, ""), (4, ""), (3, " and also "), (5000, "")):
+        got = s.scan((body + gap + "\n") * n)
+        assert [g[0] for g in got] == ["MIT"] * n and all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
+def test_recall_on_edited_notices():
+    """Words go, change and come in at random; where full alignment still covers a template, the scan finds a match there."""
+    rnd, s, found, wanted = random.Random(9), license_scan.Scanner(), 0, 0
+    for _ in range(600):
+        name = rnd.choice(s.names)
+        words = license_scan.words_of(license_scan.TEMPLATES[name])
+        edited = [w for w in words if rnd.random() > 0.1]
+        for _ in range(rnd.randint(0, max(1, len(words) // 12))):
+            edited.insert(rnd.randrange(len(edited) + 1), "zzz")
+        row = [0] * (len(edited) + 1)
+        for w in words:
+            prev = row[:]
+            for j, x in enumerate(edited):
+                row[j + 1] = prev[j] + 1 if x == w else max(prev[j + 1], row[j])
+        if row[-1] >= license_scan.COVERAGE * len(words):
+            wanted += 1
+            found += bool(s.scan("some text before it " + " ".join(edited) + " and after it"))
+    assert wanted > 300 and found >= 0.99 * wanted, (found, wanted)
+
+
+def test_odd_license_tables(spark, docs_of):
+    body = license_scan.TEMPLATES["MIT"]
+    rows = [(1, body), (1, body), (None, body), (2, "filler " * 200_000 + body)]
+    got = license_scan.scan_licenses(docs_of(rows)).collect()
+    assert sorted(((r["doc_id"], r["first_word"]) for r in got), key=str) == sorted([(1, 0), (1, 0), (None, 0), (2, 200_000)], key=str)
