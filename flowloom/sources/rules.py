@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,40 +22,44 @@ def default_dir() -> str:
     return str(Path(__file__).parent / "catalog")
 
 
-def _read(spark: SparkSession, schema: str, path: str, directory: str) -> DataFrame:
-    """A JSON file; the packaged ones, which lie with the driver, are read there."""
-    if directory == default_dir():
-        text = Path(path).read_text(encoding="utf-8")
-        return spark.createDataFrame([(text,)], "j string").select(F.from_json("j", schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
+@cache
+def _packaged() -> list[tuple]:
+    """The packaged entries, which lie with the driver and don't change: read once per process."""
+    at = Path(default_dir())
+    names = json.loads((at / "index.json").read_text(encoding="utf-8"))["entries"]
+    found = [json.loads((at / n).read_text(encoding="utf-8")) for n in names]
+    return [(i, e["cwe"], e["name"], e["sources"], e["sinks"], e["sanitizers"]) for i, e in enumerate(found)]
+
+
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def load(spark: SparkSession, directory: str | None = None) -> DataFrame:
     """Catalog entries in the manifest's order: entry_ord and ENTRY. Without a manifest, no entries."""
-    directory = directory or default_dir()
+    if directory in (None, default_dir()):
+        return spark.createDataFrame(_packaged(), f"entry_ord int, {ENTRY}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(f"{directory}/index.json")
     if not at.getFileSystem(conf).exists(at):
         return spark.createDataFrame([], f"entry_ord int, {ENTRY}")
-    names = [r["e"] for r in _read(spark, MANIFEST, f"{directory}/index.json", directory).select(F.explode("entries").alias("e")).collect()]
+    names = [r["e"] for r in _read(spark, MANIFEST, f"{directory}/index.json").select(F.explode("entries").alias("e")).collect()]
     out = None
     for i, name in enumerate(names):  # a handful of files, each its own place in the order
-        one = _read(spark, ENTRY, f"{directory}/{name}", directory).select(F.lit(i).alias("entry_ord"), "*")
+        one = _read(spark, ENTRY, f"{directory}/{name}").select(F.lit(i).alias("entry_ord"), "*")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], f"entry_ord int, {ENTRY}")
 
 
+def _patterns(entries: list) -> list[tuple]:
+    """(rule_ord, rule_kind, cwe, cwe_name, pattern): per entry its sinks, then its sanitizers."""
+    rows = [(kind, cwe, name, p) for _, cwe, name, _, sinks, sanitizers in sorted(entries, key=lambda e: e[0]) for kind, held in (("sink", sinks), ("sanitizer", sanitizers)) for p in held or ()]
+    return [(i + 1, *r) for i, r in enumerate(rows)]
+
+
 def rules(spark: SparkSession, entries: DataFrame | None = None) -> DataFrame:
-    """The ordered rule table (RULE): the source rule, then per entry its sinks, then its sanitizers."""
-    entries = load(spark) if entries is None else entries
-    parts = [
-        entries.select("entry_ord", F.lit(i).alias("part"), F.posexplode(c).alias("pos", "pattern"), F.lit(k).alias("rule_kind"), "cwe", F.col("name").alias("cwe_name"))
-        for i, (c, k) in enumerate((("sinks", "sink"), ("sanitizers", "sanitizer")))
-    ]
-    patterns = parts[0].unionByName(parts[1])
-    # a catalog has tens of rows: one partition orders them
-    rows = patterns.orderBy("entry_ord", "part", "pos").collect()
-    named = [(i + 1, r["rule_kind"], r["cwe"], r["cwe_name"], r["pattern"]) for i, r in enumerate(rows)]
+    """The ordered rule table (RULE): the source rule, then the catalog's patterns. A catalog has tens of entries."""
+    named = _patterns(_packaged() if entries is None else entries.collect())
     table = spark.createDataFrame(named, "rule_ord int, rule_kind string, cwe int, cwe_name string, pattern string")
     rule_id = F.concat(F.lit("cwe-"), F.col("cwe").cast("string"), F.lit("-"), F.col("rule_kind"), F.lit("-"), expr.rule_slug(F.col("pattern")))
     source = spark.createDataFrame([(0, SOURCE_RULE, "source", None, None, None)], RULE)
@@ -68,3 +75,12 @@ def labels(rule_table: DataFrame) -> DataFrame:
 def summary(entries: DataFrame) -> DataFrame:
     """Per entry: cwe, name, number of sinks and sanitizers."""
     return entries.select("entry_ord", "cwe", "name", F.size("sinks").alias("n_sinks"), F.size("sanitizers").alias("n_sanitizers"))
+
+
+def __getattr__(name: str):
+    """RULE_LABELS, the packaged rules' labels by id, is kept for old callers; ``labels`` gives those of any rule table."""
+    if name != "RULE_LABELS":
+        raise AttributeError(name)
+    warnings.warn("RULE_LABELS: use labels(rules(spark))", DeprecationWarning, stacklevel=2)
+    spark = SparkSession.getActiveSession()
+    return {r["rule_id"]: r["label"] for r in labels(rules(spark)).collect()}

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import edges, findings
-from ..plans.staging import staged
-from ..sources import scan
+from ..engine import analyze
+from ..operators import findings
 
 
 def source_stream(spark: SparkSession, path: str, pattern: str = "*.{js,ts}") -> DataFrame:
@@ -23,8 +22,7 @@ def watch(spark: SparkSession, path: str, out: str, checkpoint: str, config: fin
 
     def each(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        nodes = staged(session, scan.parse_nodes(batch), "nodes")
-        found = findings.find_flows(session, edges.build_graph(nodes), config)
+        _, found = analyze(session, batch, config)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return source_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -182,6 +182,39 @@ def test_analyze_code_and_reports(spark):
     assert empty["findings"] == [] and "Sin hallazgos" in E.to_html(empty["report"])
 
 
+def test_export_and_old_labels(spark, tmp_path):
+    out = E.analyze_code(spark, fixtures.CASES[0][3], "a.ts")["report"]
+    assert "<html" in open(E.report.export(out, f"{tmp_path}/r.html"), encoding="utf-8").read()
+    assert json.loads(open(E.report.export(out, f"{tmp_path}/r.json"), encoding="utf-8").read()) == out
+    with pytest.deprecated_call():
+        assert len(rules.RULE_LABELS) == 37
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from flowloom import __main__ as cli
+
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    assert cli.main(["benchmark"]) == 0 and "TP=10  FP=0  TN=4  FN=0" in capsys.readouterr().out
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text(fixtures.CASES[0][3])
+    assert cli.main(["analyze", f"file://{tmp_path}/src", f"file://{tmp_path}/out"]) == 0 and "1 findings" in capsys.readouterr().out
+    assert cli.main([]) == 2
+
+
+def test_stored_graph_is_replaced_as_a_whole(spark, corpus, tmp_path):
+    graph, _ = corpus
+    held = roles.roles_of(roles.rule_hits(graph.nodes, rules.rules(spark)), graph.edges)
+    path = f"file://{tmp_path}/g"
+    store.write(graph, held, path)
+    (tmp_path / "g/v000000001/nodes").mkdir(parents=True)  # a write that failed half-way
+    assert store.versions(spark, path) == [0] and store.read(spark, path).nodes.count() == graph.nodes.count()
+    for n in (1, 2):
+        store.write(graph, held, path)
+        assert store.versions(spark, path) == [n - 1, n]
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, f"file://{tmp_path}/none")
+
+
 def test_files_and_stream(spark, tmp_path):
     from flowloom.streaming.watch import watch
 
