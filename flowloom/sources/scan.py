@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..plans import schemas
 from .jslex import string_value
 from .jsparse import Node, parse
+from .jsx import masked, may_hold_jsx
 
 DEFAULT_FILE = "input.ts"
 _COLUMNS = ("module_id", "file", "node_ord", "id", "kind", "name", "code", "line", "col", "index", "owner_fn_id", "init_text", "value", "callee", "arg_texts", "param_ids", "return_texts", "parse_errors")
@@ -41,9 +42,18 @@ class _Places:
         return line, (len(part) if self.plain else len(part.encode("utf-16-le", "surrogatepass")) // 2) + 1
 
 
+def _tree(code: str, file: str) -> tuple[Node, int]:
+    if may_hold_jsx(file, code):
+        try:
+            return parse(masked(code))
+        except RecursionError:  # markup nested too deep: read as script
+            pass
+    return parse(code)
+
+
 def module_nodes(code: str, file: str) -> list[dict]:
     """The node rows of one module, without module_id."""
-    tree, errors = parse(code)
+    tree, errors = _tree(code, file)
     place = _Places(code)
     file = file.replace("\\", "/").rsplit("/", 1)[-1]
     rows: list[dict] = []
@@ -130,13 +140,13 @@ def parse_errors(sources: DataFrame) -> DataFrame:
 
         sys.setrecursionlimit(max(5000, sys.getrecursionlimit()))
         for b in batches:
-            found = [parse(code or "")[1] for code in b.column("code").to_pylist()]
+            found = [_tree(code or "", file or DEFAULT_FILE)[1] for file, code in zip(b.column("file").to_pylist(), b.column("code").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("module_id"), pa.array(found, pa.int32())], names=["module_id", "errors"])
 
-    return sources.select("module_id", "code").mapInArrow(run, "module_id string, errors int")
+    return sources.select("module_id", "file", "code").mapInArrow(run, "module_id string, errors int")
 
 
-def read_sources(spark: SparkSession, path: str, pattern: str = "*.{js,jsx,mjs,cjs,ts,mts,cts}") -> DataFrame:
+def read_sources(spark: SparkSession, path: str, pattern: str = "*.{js,jsx,mjs,cjs,ts,tsx,mts,cts}") -> DataFrame:
     """Every source file below path as (module_id, file, code); module_id is the full path."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     full = F.col("_metadata.file_path")

@@ -90,3 +90,37 @@ def test_never_fails_and_extents_are_right(code):
     assert "".join(t.text for t in tokens(code)) == "".join(code[t.start : t.end] for t in tokens(code))
     for r in module_nodes(code, "t.ts"):
         assert r["code"] and r["code"] in code
+
+
+JSX = """function Page({ items }, name) {
+  const title = load(name);
+  return (
+    <div className="it's" onClick={() => save(name)} {...rest(name)}>
+      Don't stop {title} <b>{/* note */}</b>
+      {items.map(i => <Item key={i} label={fmt(i)} icon=<i/> />)}
+      <></> {`a ${<u>{deep(name)}</u>} b`}
+    </div>
+  );
+}
+const less = a < b && c > d;
+"""
+
+
+def test_jsx_is_read_at_its_places():
+    from flowloom.sources.jsx import masked
+
+    text = masked(JSX)
+    assert len(text) == len(JSX) and text.count("\n") == JSX.count("\n") and "stop" not in text and "a < b && c > d" in text
+    rows = module_nodes(JSX, "page.jsx")
+    calls = {r["name"]: (r["line"], r["col"], r["code"]) for r in rows if r["kind"] == "Call"}
+    assert set(calls) == {"load", "save", "rest", "items.map", "fmt", "deep"} and not any(r["parse_errors"] for r in rows)
+    assert calls["fmt"] == (6, 44, "fmt(i)") and calls["save"][2] == "save(name)" and calls["items.map"][2].endswith("/>)")
+    assert [r["value"] for r in rows if r["kind"] == "Literal"] == ["it's"]
+    assert {r["name"] for r in rows if r["kind"] == "Variable"} == {"title", "less"}
+
+
+@pytest.mark.parametrize("code", ["f(<T extends U>(x) => g(x));", "x = <a>{f(y)}", "const z = a <b> (c);", "if (a <b) f(c);", "<", "x = <a b=", "x = <a {"])
+def test_text_that_is_no_jsx_is_left_alone(code):
+    from flowloom.sources.jsx import masked
+
+    assert masked(code) == code
