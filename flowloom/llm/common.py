@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +39,37 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lists to which the paths of staged tables are added while collecting() runs.
+_collecting: list[list[str]] = []
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    for held in _collecting:
+        held.append(path)
     return path
 
 
+@contextmanager
+def collecting(held: list[str]) -> Iterator[None]:
+    """Adds the paths of all tables staged meanwhile to held."""
+    _collecting.append(held)
+    try:
+        yield
+    finally:
+        _collecting.remove(held)
+
+
+def release(spark: SparkSession, held: list[str], docs: DataFrame) -> None:
+    """Deletes the staged tables in held that docs doesn't read, and forgets them."""
+    read = "\n".join(docs.inputFiles()) if held else ""
+    for path in [p for p in held if p.rsplit("/", 1)[-1] not in read]:
+        _delete(spark, path)
+        held.remove(path)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = staged_path(spark, name)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .tokens import runs, shared_encoder
 
-WINDOW, SLACK, BLOCK = 2048, 16, 1 << 17
+WINDOW, SLACK, BLOCK = 2048, 64, 1 << 17
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

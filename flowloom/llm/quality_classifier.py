@@ -7,7 +7,7 @@ cached; a score is the logistic of the difference of the Gaussian log densities,
 Mahalanobis distances and log determinants, plus the log prior ratio.
 
 Defined cases: null and empty texts have the statistics of a text without words and are scored like
-any other; rows with null labels teach nothing; a label table without both classes gives the rate of
+any other; texts of any length are read whole; a score equal to the threshold is good; rows with null labels teach nothing; a label table without both classes gives the rate of
 good labels as everyone's score (1/2 without labels); repeated rows get one row each; an empty table
 gives an empty result; columns other than doc_id and text are ignored.
 """

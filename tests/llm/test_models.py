@@ -1,4 +1,5 @@
 import random
+import re
 from zlib import crc32
 
 import numpy as np
@@ -113,6 +114,39 @@ def test_viterbi_reads_long_and_ambiguous_tokens_whole(decoder):
         assert decoder.viterbi(token) == want[1]
 
 
+def readings(decoder, token):
+    """Every path through the lattice of a token: swaps, kept and dropped characters, kept and merged repeats, each at its cost."""
+    out = []
+
+    def go(i, a, b, score, word):
+        if i == len(token):
+            out.append((score + float(decoder.p[a, b, 0]) * bool(b), word))
+            return
+        ch, own = token[i], decoder._c(token[i])
+        third = i >= 2 and token[i - 2] == token[i - 1] == ch
+        arcs = [(0.0, ch)] * bool(own) + [(toxicity.SWAP, x) for x in toxicity.LOOKS_LIKE.get(ch, "")]
+        if not own and (ch not in toxicity.LOOKS_LIKE or not ch.isalnum()):
+            go(i + 1, a, b, score - (toxicity.DROP_MARK if ch in toxicity.LOOKS_LIKE else toxicity.SEPARATOR), word)
+        for cost, x in arcs:
+            c = decoder._c(x)
+            if b and b == c and word.endswith(x):
+                go(i + 1, a, b, score - (0 if cost or third else toxicity.REPEAT), word)
+            go(i + 1, b, c, score - cost - (toxicity.KEEP_RUN if third and not cost else 0) + float(decoder.p[a, b, c]), word + x)
+
+    go(0, 0, 0, 0.0, "")
+    return out
+
+
+def test_viterbi_with_repeats_and_separators_against_enumeration(decoder):
+    rnd = random.Random(11)
+    tokens = ["idiooot", "m-o-r-on", "1d-10t", "m00r0n", "ssscuum", "p@+heti", "l.o.s.er", "***", "i-i-i", "a$$"]
+    tokens += ["".join(rnd.choice("idot10-.*$oo") for _ in range(rnd.randint(3, 8))) for _ in range(150)]
+    for token in tokens:
+        every = readings(decoder, token)
+        best = max(x for x, _ in every)
+        assert decoder.viterbi(token) in {w.strip() for x, w in every if x > best - 1e-4}, token
+
+
 def test_char_model_counts_all_texts(spark, docs_of):
     a = char_model.trigram_counts(docs_of(["ab", None, "", "AB ab"]))
     one, two = 1, 2
@@ -161,6 +195,46 @@ def test_statistics_and_moments(spark, docs_of):
     assert all(np.allclose(got[i], quality_classifier.statistics(t)) for i, t in enumerate(texts)) and got[0] == got[1]
 
 
+def plain_statistics(t):
+    """The same from the text itself, by plain counting."""
+    t, k = t or "", quality_classifier._PRIOR
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, m = len(words), len(words) + k
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    rate = lambda c, usual=0.0: ((c + k * usual) / m) ** 0.5
+    grams = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    return (
+        np.log(n + 1), np.log((sum(len(w.encode()) for w in words) + 5 * k) / m), rate(sum(c in "#*$%&|<>" for c in t)), rate(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ" for c in t), 0.1),
+        rate(t.count("!")), rate(sum(c in ".!?" for c in t), 0.1), rate(sum(c in "0123456789" for c in t)), np.log(len(set(words)) + k) / np.log(m), (len(set(grams)) + k) / (len(grams) + k),
+        rate(sum(a == b for a, b in zip(words, words[1:]))), np.log((n + k) / (len(lines) + 1)), ((len(lines) - len(set(lines))) / (len(lines) + 10)) ** 0.5,
+    )
+
+
+def test_statistics_against_plain_counting():
+    rnd = random.Random(8)
+    texts = [None, "", "ÀB Ü! ×\n\nÀB Ü! ×\n \nx", "a\u00a0b\x0bc"] + ["".join(rnd.choice("aB éÄ.!?1#$\n\t") for _ in range(rnd.randint(0, 300))) for _ in range(80)]
+    for t in texts:
+        assert np.allclose(quality_classifier.statistics(t), plain_statistics(t)), t
+
+
+def test_fit_against_direct_moments(spark):
+    """Means, covariances, their shrinkage and the factors, worked out from the rows themselves."""
+    rnd = np.random.default_rng(4)
+    d, shrink = len(quality_classifier.NAMES), 0.02
+    x, y = rnd.normal(0, 1, (90, d)), np.arange(90) % 3 // 2
+    x[y == 1] = x[y == 1] * 0.3 + 1
+    stats = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "doc_id long, " + ", ".join(f"{n} double" for n in quality_classifier.NAMES))
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    model = quality_classifier.fit(stats, labels, shrink)
+    covs = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * covs[c] for c in (0, 1)) / len(y)
+    for c, (mean, inverse, offset) in enumerate(model.parts):
+        n = (y == c).sum()
+        weak = min(0.9, shrink + d / n)
+        cov = (1 - weak) * covs[c] + weak * (0.5 * np.diag(np.diag(covs[c])) + 0.5 * pooled) + 1e-6 * np.eye(d)
+        assert np.allclose(mean, x[y == c].mean(axis=0)) and np.allclose(inverse @ cov @ inverse.T, np.eye(d)) and np.isclose(offset, np.log(n / len(y)) - 0.5 * np.linalg.slogdet(cov)[1])
+
+
 def test_discriminant_against_direct_densities(spark):
     rnd = np.random.default_rng(0)
     d = len(quality_classifier.NAMES)
