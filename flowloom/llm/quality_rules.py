@@ -199,5 +199,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, common.table(spark, sf_dir, "documents"))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts and decides before any vote, which SQL can state."""
+    rows = counts(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"))
+
+
+SQL = {
+    "quality_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:]) AS c FROM w WHERE len(w) > 2),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY doc_id),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s"""
+}
+QUERIES = {"op5_quality_rules": op5_quality_rules, "quality_base_counts": quality_base_counts}

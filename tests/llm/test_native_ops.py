@@ -70,6 +70,16 @@ def test_quality_counts_against_brute_force(spark, docs_of):
         assert r["base_failed"] == (n < 50 or 100 * rest[-1] > 50 * n) and not (r["kept"] and r["base_failed"])
 
 
+def test_base_counts_equal_their_sql(spark, docs_of, tables):
+    sf = tables(documents=docs_of([None, "", "a b c a b c", "x\nx\n \ny", "same", "same", "é#$ a\u00a0b"]).withColumn("n_words", F.lit(5)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf.removeprefix('file://')}/documents.parquet/*.parquet'")
+    got = quality_rules.quality_base_counts(spark, sf)
+    want = con.sql(quality_rules.SQL["quality_base_counts"])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(want.select(*got.columns).fetchall()) == sorted(map(tuple, got.collect()))
+
+
 @pytest.mark.parametrize("bits", [0, 1 << 40])
 def test_repeats_are_exact_where_hash_bits_collide(spark, docs_of, bits):
     import random
