@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: white space as JavaScript's trim() and \s see it
+# What counts as white space (as JavaScript's trim() and \s see it), as a name, as request data, as a call and as a construction.
 _JS_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _IDENTIFIER = r"\A[A-Za-z_$][A-Za-z0-9_$]*\z"
 _MEMBER_SOURCE = r"\Areq\.(body|query|params(\.[A-Za-z0-9_]+)?)\z"

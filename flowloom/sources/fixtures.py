@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 CASE_SCHEMA = "case_ord int, id string, title string, label string, code string, file string, cwe string, tags array<string>, min_findings int, max_findings int"
 EXAMPLE_SCHEMA = "example_ord int, id string, title string, description string, code string, expect_finding boolean"
 
+# The snippets' texts, some of which serve both lists.
 _INTRA = "function handler(input) {\n  const q = input;\n  db.query(q);\n}"
 _INTER = "function sink(q) {\n  db.query(q);\n}\n\nfunction handler(input) {\n  sink(input);\n}"
 _LITERAL = 'function handler(input) {\n  db.query("SELECT 1");\n}'
