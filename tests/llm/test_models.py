@@ -120,7 +120,7 @@ def readings(decoder, token):
 
     def go(i, a, b, score, word):
         if i == len(token):
-            out.append((score + float(decoder.p[a, b, 0]) * bool(b), word))
+            out.append((score + float(decoder.p[a, b, 0]), word))
             return
         ch, own = token[i], decoder._c(token[i])
         third = i >= 2 and token[i - 2] == token[i - 1] == ch
