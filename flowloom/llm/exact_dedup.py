@@ -55,7 +55,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, support: float = 1e-
     """
     row = docs.select(common.whole_row(docs).alias("row"), "doc_id", F.monotonically_increasing_id().alias("uid"), text_digest(F.col("text")).alias("text_sha256"))
     numbered = common.stage(spark, row, "numbered")
-    gone = _settle(spark, numbered.drop("row"), support).filter(F.col("uid") != F.col("first.uid")).select("uid")
+    # staged, so that its size is known and a small one is broadcast: the texts don't move then
+    gone = common.stage(spark, _settle(spark, numbered.drop("row"), support).filter(F.col("uid") != F.col("first.uid")).select("uid"), "gone")
     return numbered.join(gone, "uid", "left_anti").select("row.*")
 
 
