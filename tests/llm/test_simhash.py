@@ -225,3 +225,23 @@ def test_a_large_group_of_copies_is_split(skewed):
     digests = skewed.range(20_000, numPartitions=8).selectExpr("id AS doc_id", "id AS uid", "IF(id % 2 = 0, 'hot', CAST(id AS STRING)) AS text_sha256")
     settled = exact_dedup._settle(skewed, common.stage(skewed, digests, "digests"), 0.9)  # no winner: the ordinary way alone
     assert splits(settled) and {(r["group_size"], r["n"]) for r in settled.groupBy("group_size").count().withColumnRenamed("count", "n").collect()} == {(10_000, 10_000), (1, 10_000)}
+
+
+def test_components_of_random_graphs(spark):
+    """Many small graphs at once, chains, hubs and nodes that two roots share."""
+    rnd = np.random.default_rng(12)
+    edges = [(1000 * g + a, 1000 * g + b) for g in range(60) for a, b in rnd.integers(0, 9, (rnd.integers(1, 12), 2)).tolist()]
+    edges += [(70_000 + i, 70_001 + i) for i in range(70)] + [(80_000, 80_000 + i) for i in range(1, 40)] + [(90_002, 90_000), (90_002, 90_001), (90_003, 90_001)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    got = components.connected(spark, spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
