@@ -61,7 +61,7 @@ _GAP = re.compile(r"[ \t]+")
 class Decoder:
     """Restores words. log_p: char_model.log_probabilities."""
 
-    def __init__(self, log_p: np.ndarray, limit: int = 100_000) -> None:
+    def __init__(self, log_p: np.ndarray, limit: int = 50_000) -> None:
         self.p, self.code, self.limit = log_p, char_model.codes(), limit
         self.memo: dict[str, str] = {}
 
@@ -152,7 +152,7 @@ class Cues:
     def evidence(self, words: list[str]) -> float:
         """The sum of a document's three strongest cue words."""
         memo = self.memo
-        if len(memo) > 100_000:
+        if len(memo) > 50_000:
             memo.clear()
         hits = []
         for w in set(words):
