@@ -185,6 +185,46 @@ def test_similar_texts_against_brute_force(spark, docs_of, node_size):
     assert similar.drop_similar(spark, df.limit(0)).isEmpty()
 
 
+def test_similar_texts_without_a_common_node(spark, docs_of):
+    """Texts above 0.8 whose least hashes all differ are linked."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for n in range(5):
+        w = [f"w{x}" for x in rnd.integers(0, 5000, 400)]
+        other = list(w)
+        for least in range(similar.SKETCH):  # a word of each of the least hashes' shingles is another one
+            h = S.shingle_hashes(" ".join(w), 5)
+            other[int(np.argsort(h)[least]) + 2] = f"other{n}"
+        a, b = (np.sort(S.shingle_hashes(" ".join(x), 5)) for x in (w, other))
+        assert not set(a[: similar.SKETCH]) & set(b[: similar.SKETCH])
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(other))]
+    want, pairs = similar_survivors(rows)
+    assert pairs == 5 and len(want) == 5
+    assert sorted(r["doc_id"] for r in similar.drop_similar(spark, docs_of(rows)).collect()) == want
+
+
+@pytest.mark.parametrize("node_size, some", [(4, "false"), (2048, "a % 3 = 0")])
+def test_what_the_rounds_pass_over_is_found(spark, docs_of, monkeypatch, node_size, some):
+    """All links are found if the rounds offer nothing, or only what one document in three offers; large nodes with many classes, too."""
+    rnd = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(900)]
+    line, rows = list(rnd.choice(vocabulary, 30)), []
+    for n in range(25):
+        base = list(rnd.choice(vocabulary, 90 + 4 * n)) + line
+        for edits in ([0, 1, 3, 8] if n else [0] + [1, 3] * 20):
+            w = list(base)
+            for at in rnd.integers(0, len(w), edits):
+                w[at] = "edited" + str(rnd.integers(1000))
+            rows.append((len(rows), " ".join(w)))
+    want, pairs = similar_survivors(rows)
+    assert pairs > 100 and len(want) > 25
+    staged = S.common.stage(spark, docs_of(rows).select(S.F.col("doc_id").cast("long").alias("uid"), "text"), "docs")
+    offers = similar.offers
+    monkeypatch.setattr(similar, "offers", lambda *of: offers(*of).filter(some))
+    gone = {r["node"] for r in similar.similar_components(spark, staged, node_size=node_size).collect()}
+    assert sorted({i for i, _ in rows} - gone) == want
+
+
 def test_pipeline_stage_drops_similar_texts(spark):
     """The stage keeps what brute force over 5-word sets keeps."""
     import corpus_pipeline
