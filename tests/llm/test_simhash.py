@@ -225,6 +225,47 @@ def test_what_the_rounds_pass_over_is_found(spark, docs_of, monkeypatch, node_si
     assert sorted({i for i, _ in rows} - gone) == want
 
 
+def test_pairs_of_a_large_group_of_near_copies(spark, docs_of, monkeypatch):
+    """Of a large group whose members are edited to either side of 0.8, few pairs leave the nodes for the exact check, and no link is lost."""
+    rnd = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in rnd.integers(0, 5000, 150)], []
+    for n in range(240):
+        w = list(base)
+        for at in rnd.integers(0, len(w), 1 if n < 120 else 3 + n % 4):
+            w[at] = f"edited{n}"
+        rows.append((n, " ".join(w)))
+    want, pairs = similar_survivors(rows)
+    assert pairs > 7000 and 20 < len(want) < 120
+    made = []
+    staged = S.common.stage(spark, docs_of(rows).select(S.F.col("doc_id").cast("long").alias("uid"), "text"), "docs")
+
+    def counted(df, f, schema, *more):
+        found = plain(df, f, schema, *more)
+        if str(schema).startswith("u long, v long") and "holds" not in schema:
+            made.append(found.count())
+        return found
+
+    plain = type(staged).mapInArrow
+    monkeypatch.setattr(type(staged), "mapInArrow", counted)
+    gone = {r["node"] for r in similar.similar_components(spark, staged).collect()}
+    assert sorted({i for i, _ in rows} - gone) == want
+    assert len(made) == 1 and made[0] < 10 * len(rows)
+
+
+def test_parities(spark):
+    """Sets differ in as many hashes as in parities at least, whatever their sizes."""
+    rnd = np.random.default_rng(13)
+    every = np.unique(rnd.integers(0, 2**63, 20_000).astype(np.uint64))
+    sets = [every[:0], every[:1], *(np.sort(rnd.choice(every, n, replace=False)) for n in (60, 64, 65, 150, 300, 1000, 5000, 9000))]
+    words, by = similar.folded([similar.parities(h) for h in sets])
+    assert words.tolist() == [1, 1, 1, 1, 2, 4, 8, 16, 64, 64]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            level = by[min(words[i], words[j])]
+            far = int(np.bitwise_count(level[i] ^ level[j]).sum())
+            assert far <= len(np.setxor1d(a, b)) and (far - len(a) - len(b)) % 2 == 0
+
+
 def test_pipeline_stage_drops_similar_texts(spark):
     """The stage keeps what brute force over 5-word sets keeps."""
     import corpus_pipeline
