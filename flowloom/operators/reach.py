@@ -162,9 +162,10 @@ def all_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, sinks: D
     many there are.
     """
     adj = adjacency(edges, kinds)
-    open_ = adj.join(blocked.select("module_id", F.col("node_id").alias("dst")), ["module_id", "dst"], "left_anti")
+    # both are read by every level: written once instead of worked out again
+    open_ = staged(spark, adj.join(blocked.select("module_id", F.col("node_id").alias("dst")), ["module_id", "dst"], "left_anti"), "open")
     alive = reaching(spark, open_.withColumn("kind", F.lit("")), sinks, max_depth - 1, None).withColumnRenamed("node_id", "dst")
-    adj = open_.join(alive, ["module_id", "dst"], "left_semi").withColumnRenamed("src", "node_id")
+    adj = staged(spark, open_.join(alive, ["module_id", "dst"], "left_semi").withColumnRenamed("src", "node_id"), "open")
     first = starts.join(blocked.select("module_id", F.col("node_id").alias("source_id")), ["module_id", "source_id"], "left_anti")
     frontier = staged(spark, _starts(first), "trails")
     out = frontier.limit(0)
@@ -178,3 +179,19 @@ def all_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, sinks: D
             break
         out = out.unionByName(frontier.join(sinks.select("module_id", "node_id"), ["module_id", "node_id"], "left_semi"))
     return out
+
+
+# --- layered graphs: layers[i](src, dst) leads from layer i of the nodes to layer i + 1, so every path from the first
+# layer to the last takes one edge of each. Nodes are keys of any type that sorts; edges of a node go by their dst.
+
+
+def _layer(layers: list[DataFrame], i: int) -> DataFrame:
+    return layers[i].select(F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}")).dropna()
+
+
+def layered_trails(layers: list[DataFrame]) -> DataFrame:
+    """(n0, n1, ...), a row per path from the first layer to the last; parallel edges give a path each. Nothing is staged."""
+    out = _layer(layers, 0)
+    for i in range(1, len(layers)):
+        out = out.join(_layer(layers, i), f"n{i}")
+    return out.select(*[f"n{i}" for i in range(len(layers) + 1)])
