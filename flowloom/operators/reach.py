@@ -1,13 +1,14 @@
 """Bounded reachability over an edge table.
 
 Of the shortest paths between two nodes, the one with the least sequence of edge_ord counts: it is the path that a
-first-in-first-out search of the ordered edges finds. Three plans give the same rows:
+first-in-first-out search of the ordered edges finds. Four plans give the same rows:
 
 * ``shortest_paths_to``: from the targets backwards, a row of ids per node and target; the next hop is the least
   edge into the level before, so no path is carried, and paths are put together for the starts that arrive;
 * ``shortest_paths``: from the starts forwards to every node, one join and one grouped minimum per level;
 * ``shortest_paths_grouped``: one search per module in an Arrow cogroup, for many small modules (a
-  module is one source file, so a group is bounded by a file).
+  module is one source file, so a group is bounded by a file);
+* ``layered_shortest``: for graphs whose edges lead from one layer of nodes to the next, layer by layer from the end.
 """
 
 from __future__ import annotations
@@ -195,3 +196,29 @@ def layered_trails(layers: list[DataFrame]) -> DataFrame:
     for i in range(1, len(layers)):
         out = out.join(_layer(layers, i), f"n{i}")
     return out.select(*[f"n{i}" for i in range(len(layers) + 1)])
+
+
+def layered_shortest(spark: SparkSession, layers: list[DataFrame]) -> DataFrame:
+    """(n0, n1, ...), a row per pair of n0 and last node: the least sequence of nodes between them.
+
+    From the end backwards a row per node and last node is kept, with the least next node; the minima are of plain
+    keys, so they hash. Levels are staged, so that the planner knows their size, but for the last two.
+    """
+    k = len(layers)
+    best = _layer(layers, k - 1).distinct()
+    for i in range(k - 2, -1, -1):
+        nxt = f"n{i + 1}"
+        step = _layer(layers, i).join(best, nxt).repartition(f"n{i}")
+        rest = [F.min_by(f"n{j}", nxt).alias(f"n{j}") for j in range(i + 2, k)]
+        best = step.groupBy(f"n{i}", f"n{k}").agg(F.min(nxt).alias(nxt), *rest)
+        if i > 1:
+            best = staged(spark, best, "layer")
+    return best.select(*[f"n{i}" for i in range(k + 1)])
+
+
+def layered_sources(layers: list[DataFrame]) -> DataFrame:
+    """(n0): the nodes of the first layer from which the last is reached."""
+    alive = _layer(layers, len(layers) - 1)
+    for i in range(len(layers) - 2, -1, -1):
+        alive = _layer(layers, i).join(alive.select(f"n{i + 1}"), f"n{i + 1}", "left_semi")
+    return alive.select("n0").distinct()

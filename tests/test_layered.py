@@ -79,3 +79,20 @@ def test_all_paths_reads_its_edges_once(spark, layered):
 
 def test_flow_all_paths_moves_few_rows(spark):
     assert 0.5 < per_row(spark, "flow_all_paths") < 2
+
+
+def test_layered_shortest_are_shortest_paths(spark, layered):
+    layers, edges, starts, ends, _ = layered
+    want = sorted(r["path"] for r in reach.shortest_paths_to(spark, edges, starts, ends).collect())
+    assert want == named(reach.layered_shortest(spark, layers).collect()) and want
+
+
+def test_layered_sources_are_those_that_reach(spark, layered):
+    layers, edges, starts, ends, _ = layered
+    want = {r["node_id"] for r in reach.reaching(spark, edges, ends).collect()} & {r["source_id"] for r in starts.collect()}
+    assert sorted(want) == sorted(f"0:{r['n0']}" for r in reach.layered_sources(layers).collect()) and len(want) < starts.count()
+
+
+@pytest.mark.parametrize("name", ["flow_reach_shortest", "flow_reaches"])
+def test_flow_reach_moves_few_rows(spark, name):
+    assert 0.5 < per_row(spark, name) < 2
